@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import formatting, incremental, ledger, packing, tokens
+from quillstone.llm import formatting, incremental, ledger, mojibake, packing, pairs, tokens
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.defects(_table(spark, sf, "arithmetic_run_instant"), "answer_id", "operation", "output")
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode_column(_table(spark, sf, "documents"), "doc_id", "text")
 
@@ -42,5 +46,16 @@ def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_all(sizes, "doc_id", "n_tokens", [r["capacity"] for r in rows])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_sample, p5_found, p7_ids, p8_packed)}
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    out = mojibake.restored(_table(spark, sf, "documents"), "doc_id", "text", "source")
+    return out.where("found").select("doc_id")
+
+
+def p9_restored(spark: SparkSession, sf: str) -> DataFrame:
+    """The found documents with their restored text."""
+    out = mojibake.restored(_table(spark, sf, "documents"), "doc_id", "text", "source")
+    return out.where("found").select("doc_id", F.col("text").alias("restored"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_sample, p5_found, p6_found, p7_ids, p8_packed, p9_found, p9_restored)}
 SQL: dict[str, str] = {}
