@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quillstone.plans import problems
+from quillstone.plans import corpus, evaluation, problems, runlog
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-for _module in (problems,):
+for _module in (evaluation, corpus, runlog, problems):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL

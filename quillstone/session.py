@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +27,7 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, **conf: str) -> Sp
     )
     for key, value in conf.items():
         b = b.config(key.replace("__", "."), value)
-    return b.getOrCreate()
+    return ship(b.getOrCreate())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,6 +64,24 @@ def cut(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors' Python workers, once an application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = Path(__file__).resolve().parent
+        folder = Path(tempfile.mkdtemp(prefix="quillstone-"))
+        archive = folder / "quillstone.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(str(archive))
+        _shipped.add(sc.applicationId)
+    return spark
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch path; a path that is gone already is no error."""
     jvm = spark.sparkContext._jvm
