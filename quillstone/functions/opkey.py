@@ -162,7 +162,7 @@ def operation_keys(text: object) -> tuple[str | None, str | None]:
     if not isinstance(text, str):
         return None, None
     toks = tokens(text)
-    if not toks:
+    if not any(t[0].isdigit() or t[0] == "." or t in FUNCTIONS for t in toks):
         rest = "".join(c for c in unicodedata.normalize("NFKC", _INVISIBLE.sub("", text)).lower() if c.isalnum())
         return None, ("w" + rest if rest else None)
     flat = "t" + "".join(toks)
