@@ -186,6 +186,8 @@ FLOOR = 1e-4
 #: Log odds against 'none' at which a word, or all such words together, make a document found. Words that are a lone sign or
 #: letter without context need more.
 ONE, TOGETHER, LONE = 3.5, 5.0, 6.0
+#: Log odds within which a document's chief swap wins over others when its text is restored.
+NEAR = 8.0
 
 
 def has_context(word: str) -> bool:
@@ -200,21 +202,18 @@ class Judge:
     def __init__(self, pairs: dict[tuple[str, str], float], weights: dict[str, dict[str, float]]):
         self.model = Bigrams(pairs)
         self.weights = weights
-        self.memo: dict[tuple[str, str], tuple[str, str, float]] = {}
+        self.memo: dict[tuple[str, str], tuple[dict[str, float], dict[str, str]]] = {}
 
-    def word(self, word: str, source: str) -> tuple[str, str, float]:
-        """(best swap, what it restores, log odds against 'none') of a word with non-ASCII characters."""
+    def word(self, word: str, source: str) -> tuple[dict[str, float], dict[str, str]]:
+        """(log odds against 'none' of every swap, what each restores) of a word with non-ASCII characters."""
         key = (word, source)
         hit = self.memo.get(key)
         if hit is None:
             options = swaps(word)
             score = posterior(word, options, self.model, self.weights.get(source, {}), FLOOR)
             none = score.pop(NONE)
-            if score:
-                k = max(score, key=lambda x: (score[x], x))
-                hit = (k, options[k], score[k] - none)
-            else:
-                hit = (NONE, word, -math.inf)
+            near = {k: v - none for k, v in score.items() if v - none > -NEAR}
+            hit = (near, {k: options[k] for k in near})
             if len(self.memo) > 200_000:
                 self.memo.clear()
             self.memo[key] = hit
@@ -224,24 +223,37 @@ class Judge:
         """(found, restored text) of a document."""
         if not text or text.isascii():
             return False, text
-        found, together, edits = False, 0.0, []
+        found, together, per_swap, spots = False, 0.0, defaultdict(float), []
         for m in words_of(text):
             w = m.group()
             if w.isascii():
                 continue
-            _, back, odds = self.word(w, source)
-            if odds <= 0:
+            odds, back = self.word(w, source)
+            best = max(odds, key=lambda k: (odds[k], k), default=None)
+            spots.append((m.start(), m.end(), odds, back, best))
+            if best is None or odds[best] <= 0:
                 continue
             context = has_context(w)
-            found |= odds >= (ONE if context else LONE)
-            together += odds if context else 0.0
-            edits.append((m.start(), m.end(), back))
+            found |= odds[best] >= (ONE if context else LONE)
+            together += odds[best] if context else 0.0
+            for k, v in odds.items():
+                per_swap[k] += max(0.0, v)
         found |= together >= TOGETHER
         if not found:
             return lost_characters(text), text
+        chief = max(per_swap, key=lambda k: (per_swap[k], k), default=NONE)
+        garbled = [best is not None and odds[best] > 0 for _, _, odds, _, best in spots]
         out, at = [], 0
-        for a, b, back in edits:
-            out += [text[at:a], back]
+        for i, (a, b, odds, back, best) in enumerate(spots):
+            # the document's chief swap explains a word as well as its own best one, and words between garbled ones
+            beside = any(garbled[max(0, i - 1) : i + 2])
+            if chief in odds and (odds[chief] > 0 or (beside and not garbled[i])) and odds[chief] > odds[best] - NEAR:
+                use = chief
+            elif garbled[i]:
+                use = best
+            else:
+                continue
+            out += [text[at:a], back[use]]
             at = b
         return True, "".join([*out, text[at:]])
 

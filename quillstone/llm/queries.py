@@ -58,4 +58,28 @@ def p9_restored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_sample, p5_found, p6_found, p7_ids, p8_packed, p9_found, p9_restored)}
-SQL: dict[str, str] = {}
+
+
+def _ledger_sql(snapshots: int = 8, share: float = 0.25, least: int = 10, seed: str = "ledger-1") -> str:
+    """The ledger of ``p3_sample`` snapshot by snapshot; each step sees the one before."""
+    blank = r"[\s\p{Z}\x{200B}\x{2060}\x{FEFF}]+"
+    member = f"nullif(regexp_replace(operation, '^{blank}|{blank}$', '', 'g'), '')"
+    steps = [
+        f"""rows as (select 'heldout' as track, {member} as key, snapshot from eval_heldout_sample union all
+select 'train', {member}, snapshot from eval_train_sample),
+members as (select track, key, min(snapshot) as s, md5(concat('{seed}', chr(1), track, chr(1), key)) as priority from rows where key is not null group by 1, 2)"""
+    ]
+    for s in range(snapshots):
+        had = f"l{s - 1}" if s else "(select '' as track, '' as key, '' as priority, 0 as snapshot where false)"
+        steps.append(
+            f"""l{s} as materialized (select * from {had} union all select track, key, priority, {s} from (
+select m.*, row_number() over (partition by m.track order by priority, key) as rn,
+  least(q.n, greatest({least}, ceil(round({share} * q.n, 6)))) - coalesce(h.n, 0) as room
+from members m join (select track, count(*) as n from members where s <= {s} group by 1) q on q.track = m.track
+left join (select track, count(*) as n from {had} group by 1) h on h.track = m.track
+where m.s <= {s} and not exists (select 1 from {had} x where x.track = m.track and x.key = m.key)) where rn <= room)"""
+        )
+    return "with " + ",\n".join(steps) + f"\nselect track, key as operation, priority, cast(snapshot as int) as snapshot from l{snapshots - 1}"
+
+
+SQL: dict[str, str] = {"p3_sample": _ledger_sql()}
