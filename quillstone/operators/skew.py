@@ -38,7 +38,7 @@ def balanced_rank(
 
     Rows of a group are spread over ``slices`` hash slices of the ``order`` columns; ranks run slice by slice, so they
     are dense, unique and the same on every run, but follow ``order`` only inside a slice. The table of slice counts
-    has ``slices`` rows a group.
+    has ``slices`` rows a group. Ranking and joining share one partitioning. Rows with a null in ``by`` are dropped.
     """
     by, order = list(by), list(order)
     sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(slices)).cast("int"))
@@ -47,8 +47,5 @@ def balanced_rank(
     offsets = counts.select(*by, "_slice", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_offset"))
     inner = Window.partitionBy(*by, "_slice").orderBy(*order)
     ranked = sliced.withColumn("_rn", F.row_number().over(inner) - 1)
-    cond = [ranked[c].eqNullSafe(offsets[c]) for c in [*by, "_slice"]]
-    joined = ranked.join(offsets, cond, "inner")
-    return joined.select(
-        *[ranked[c] for c in df.columns], (F.col("_offset") + F.col("_rn")).cast("long").alias(name)
-    )
+    joined = ranked.join(offsets, [*by, "_slice"], "inner")
+    return joined.select(*df.columns, (F.col("_offset") + F.col("_rn")).cast("long").alias(name))
