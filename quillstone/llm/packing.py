@@ -25,6 +25,8 @@ from quillstone.session import cut
 
 #: Buckets of one capacity; more buckets mean less padding and a longer plan.
 BUCKETS = 128
+#: Items one ranking task sees at most, about: the number of slices grows with the items.
+SLICE_ROWS = 1_000_000
 
 
 def bucket_bounds(sizes: np.ndarray, counts: np.ndarray, k: int) -> list[int]:
@@ -106,7 +108,8 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int, buckets: i
         list(zip(sizes.tolist(), where.tolist(), strict=True)), "size long, bucket int"
     )
     placed = pieces.where("size > 0").join(F.broadcast(of_size), "size")
-    ranked = balanced_rank(placed, ["bucket"], ["id", "part"], "rk")
+    slices = max(64, -(-int(counts.sum()) // SLICE_ROWS))
+    ranked = balanced_rank(placed, ["bucket"], ["id", "part"], "rk", slices)
     by_bucket = table.groupBy("bucket").agg(
         F.array_sort(F.collect_list(F.struct("lo", "hi", "first", "take"))).alias("spans")
     )

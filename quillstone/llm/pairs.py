@@ -23,8 +23,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from quillstone.functions.opkey import FUNCTIONS, operation_keys, tokens
+from quillstone.operators.skew import join_to_groups
 from quillstone.session import cut
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -46,8 +48,10 @@ ENGLISH = frozenset(
 )
 # fixed values: words that only put a question
 FRAMING = frozenset(
-    """a answer asked calculate can comes compute evaluate expression find following for give how is me much of operation
-    out please problem question result solve task tell the this to value was what work you your""".split()
+    """a again answer asked calculate calculated can comes compute computed could determine equation evaluate evaluated
+    exercise expression figure find following for give given here how i in input is it me much of operation out please
+    prompt problem query question read reads requested result rewritten solve task tell that the this to value wanted
+    was what with words work would you your""".split()
 )
 TAILS = frozenset("comes equals is please to what".split())
 _NEEDS_QUESTION = re.compile(r"(?:expression|evaluate|evaluating|of|solve|computing|calculate|compute)\s*$", re.I)
@@ -173,7 +177,7 @@ def opening_clusters(openings: DataFrame) -> DataFrame:
 
     each = openings.select("opening").mapInPandas(bands, "opening string, band string")
     centre = each.groupBy("band").agg(F.min("opening").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    links = each.join(centre, "band").where("opening <> centre").select("opening", "centre").distinct()
+    links = join_to_groups(each, centre, ["band"], "n").where("opening <> centre").select("opening", "centre").distinct()
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -213,7 +217,8 @@ def defects(df: DataFrame, id_col: str, question_col: str, output_col: str) -> D
     rows = cut(rows, "pairs")
     done = rows.where("kind not in ('value', 'open', 'bare')").select("id", F.col("kind").alias("defect"))
 
-    # continuations of the templates that give a value: stem of words and the next word
+    # continuations of the templates that give a value: stem of words and every beginning of the next word, so that a
+    # response cut within a word meets them by equality
     valued = rows.where("kind = 'value'").select("words").distinct()
 
     def stems(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,19 +229,23 @@ def defects(df: DataFrame, id_col: str, question_col: str, output_col: str) -> D
                 for k in range(len(w)):
                     if w[k] == NUMBER:
                         break
-                    seen.add((" ".join(w[:k]), w[k]))
-            yield pd.DataFrame(sorted(seen), columns=["stem", "next"])
+                    stem = " ".join(w[:k])
+                    seen.update((stem, w[k][:j]) for j in range(1, len(w[k]) + 1))
+            yield pd.DataFrame(sorted(seen), columns=["stem", "last"])
 
     # a bare number in the place of a value is its own answer
-    own = rows.where("kind = 'bare'").join(valued.withColumnRenamed("words", "answered"), "answered", "left_anti")
+    bare = rows.where("kind = 'bare'")
+    shapes = bare.groupBy("answered").agg(F.count("*").alias("n"))
+    shapes = shapes.join(valued.withColumnRenamed("words", "answered"), "answered", "left_anti")
+    own = join_to_groups(bare, shapes, ["answered"], "n")
     open_ = rows.where("kind = 'open'").unionByName(own.select(*rows.columns))
-    goes_on = valued.mapInPandas(stems, "stem string, next string").distinct()
+    goes_on = valued.mapInPandas(stems, "stem string, last string").distinct()
     # one row per open template
     templates = open_.groupBy("words", "opening", "stem", "last").agg(
         F.max("ended").alias("ended"), F.approx_count_distinct("q").alias("questions"), F.count("*").alias("n")
     )
     templates = cut(templates, "templates")
-    broken = templates.join(goes_on, "stem", "inner").where(F.col("next").startswith(F.col("last"))).select("words").distinct()
+    broken = templates.join(goes_on, ["stem", "last"], "left_semi").select("words", "n")
     left = templates.join(broken, "words", "left_anti")
     openings = left.groupBy("opening").agg(F.max("ended").alias("ended"), F.sum("questions").alias("questions"))
     clusters = opening_clusters(openings)
@@ -245,15 +254,15 @@ def defects(df: DataFrame, id_col: str, question_col: str, output_col: str) -> D
     )
     # shingles of clusters that end their sentences carry over to unended wordings of other clusters
     of_words = left.join(clusters, "opening").join(judged, "cluster")
-    gram = F.pandas_udf(_shingle_lists, "array<string>")
-    grams = of_words.select("words", "c_ended", "ended", F.explode(gram("words")).alias("g"))
-    declining = grams.where("ended").select("g").distinct()
-    carried = grams.where("not c_ended").join(declining, "g", "left_semi").select("words").distinct().withColumn("carried", F.lit(True))
-    final = of_words.join(carried, "words", "left").select(
-        "words", F.when(F.col("c_ended") | F.coalesce("carried", F.lit(False)), "refusal").otherwise("truncated").alias("defect")
+    gram = F.pandas_udf(_shingle_lists, ArrayType(StringType()))
+    grams = cut(of_words.select("words", "c_ended", "ended", F.explode(gram("words")).alias("g")), "shingles")
+    recurring = grams.groupBy("g").agg(F.max("ended").alias("declines"), F.count("*").alias("n")).where("declines")
+    carried = join_to_groups(grams.where("not c_ended").select("words", "g"), recurring, ["g"], "n").select("words").distinct()
+    final = of_words.join(carried.withColumn("carried", F.lit(True)), "words", "left").select(
+        "words", "n", F.when(F.col("c_ended") | F.coalesce("carried", F.lit(False)), "refusal").otherwise("truncated").alias("defect")
     )
-    final = final.unionByName(broken.select("words", F.lit("truncated").alias("defect")))
-    rest = open_.select("id", "words").join(final, "words", "inner").select("id", "defect")
+    final = final.unionByName(broken.withColumn("defect", F.lit("truncated")))
+    rest = join_to_groups(open_.select("id", "words"), final, ["words"], "n").select("id", "defect")
     return done.unionByName(rest).select(F.col("id").alias(id_col), "defect")
 
 
