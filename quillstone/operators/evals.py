@@ -149,3 +149,22 @@ def trailing_streak(flags: DataFrame, flag: str, ordinal: str, by: Sequence[str]
     return flags.join(top, keys).groupBy(*keys).agg(
         F.count_if(F.col("_last").isNull() | (F.col(ordinal) > F.col("_last"))).alias("streak")
     )
+
+
+def comparisons(sides: DataFrame, by: Sequence[str], z: float, target: float) -> DataFrame:
+    """One row a comparison: high minus instant, and instant minus previous where there is a previous evaluation.
+
+    ``sides`` has correct_x and n_x for x in high, instant, previous; null or zero counts leave a comparison out.
+    """
+    out = None
+    for name, a, b in (("high_minus_instant", "high", "instant"), ("instant_minus_previous", "instant", "previous")):
+        rows = sides.where((F.coalesce(F.col(f"n_{a}"), F.lit(0)) > 0) & (F.coalesce(F.col(f"n_{b}"), F.lit(0)) > 0))
+        one = with_diff_ci(rows, a, b, z, target).select(*by, F.lit(name).alias("name"), "diff", "half_width", "low", "high", "meets_target")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def all_required_met(sides: DataFrame, compared: DataFrame, by: Sequence[str], required: Sequence[str]) -> DataFrame:
+    """Whether every required comparison that is present meets its target; true where none is."""
+    ok = compared.where(F.col("name").isin(*required)).groupBy(*by).agg(F.bool_and("meets_target").alias("_met"))
+    return sides.select(*by).distinct().join(ok, list(by), "left").select(*by, F.coalesce("_met", F.lit(True)).alias("met"))

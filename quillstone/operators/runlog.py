@@ -118,3 +118,24 @@ def reusable(df: DataFrame, by: Sequence[str], ordinal: str, model: str, sample:
     w = Window.partitionBy(*by).orderBy(ordinal)
     same = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")) == F.lag(F.nullif(F.col(c), F.lit(""))).over(w), F.lit(False))
     return df.withColumn("reuse", same(model) & same(sample))
+
+
+def upsert_where(base: DataFrame, new: DataFrame, matches: Column, ord_col: str) -> DataFrame:
+    """Replace all rows of ``base`` that match by the one row of ``new``, in the place of the first of them, else append it."""
+    place = base.agg(
+        F.coalesce(F.min(F.when(matches, F.col(ord_col))), F.max(ord_col) + 1, F.lit(0)).alias("_at")
+    )
+    row = new.drop(ord_col).crossJoin(F.broadcast(place)).withColumnRenamed("_at", ord_col).select(*base.columns)
+    return base.where(~F.coalesce(matches, F.lit(False))).unionByName(row)
+
+
+def finished_record(evals: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The history record of an iteration from its evaluations: pre, post and delta per split and the overfit gap.
+
+    ``evals`` has split (train_seed, heldout), stage (pre, post) and accuracy.
+    """
+    at = lambda split, stage: F.max(F.when((F.col("split") == split) & (F.col("stage") == stage), F.col("accuracy")))
+    wide = evals.groupBy(*by).agg(*[at(s, g).alias(f"{s}_{g}") for s in ("train_seed", "heldout") for g in ("pre", "post")])
+    block = lambda s: F.struct(F.col(f"{s}_pre").alias("pre"), F.col(f"{s}_post").alias("post"), (F.col(f"{s}_post") - F.col(f"{s}_pre")).alias("delta"))
+    gap = F.struct((F.col("train_seed_post") - F.col("heldout_post")).alias("overfit_gap"))
+    return wide.select(*by, block("train_seed").alias("train_seed"), block("heldout").alias("heldout"), gap.alias("delta"))

@@ -283,3 +283,36 @@ def test_runlog(spark):
     out = g.select(R.generation(F.col("g"), R.is_imported(F.col("k"), F.col("k"), F.col("i")), F.col("i"), F.lit(True)).alias("x")).collect()
     assert [r["x"] for r in out] == [2, 7, 1, 1]
     assert spark.range(1).select(R.is_interim(F.lit(None).cast("boolean"), F.lit("final"), F.lit("Interim value, CI refine to come")).alias("x")).collect()[0]["x"]
+
+
+def test_remote_boundary(spark):
+    from quillstone.operators import remote
+
+    waits, seen = [], []
+
+    def flaky(content):
+        seen.append(content)
+        if len(seen) < 3:
+            raise OSError("busy")
+        return content.upper()
+
+    assert remote.attempt(flaky, "a", pause=waits.append) == "A" and waits == [1.0, 2.0]
+
+    def call(content):
+        if content == "bad":
+            raise OSError("no")
+        return content + "!"
+
+    requests = spark.createDataFrame([(1, "x"), (2, "bad")], "key long, user_content string")
+    got = remote.ask(requests, call, tries=1)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "x!", False), (2, "", True)]
+    assert not remote.all_failed(got) and remote.all_failed(got.where("failed")) and not remote.all_failed(got.limit(0))
+
+
+def test_init_run(spark):
+    from quillstone.plans import pipelines
+
+    df = spark.createDataFrame([(i, f"{i % 20}+1", f"{i % 20}+1") for i in range(100)], "id int, operation string, key string")
+    parts = pipelines.init_run(df, 0.1, 3, 5, id_col="id", key="key")
+    C.assert_disjoint(parts["train"], parts["heldout"], "key")
+    assert parts["heldout"].count() == 10 and parts["train_sample"].count() == 5 and parts["heldout_sample"].count() == 5
