@@ -186,6 +186,9 @@ FLOOR = 1e-4
 #: Log odds against 'none' at which a word, or all such words together, make a document found. Words that are a lone sign or
 #: letter without context need more.
 ONE, TOGETHER, LONE = 3.5, 5.0, 6.0
+#: Log odds at which the distinct words of a document (two at least) that agree on one swap make it found, the swap's prior
+#: being counted once for the document.
+POOLED = 6.0
 #: Log odds within which a document's chief swap wins over others when its text is restored.
 NEAR = 8.0
 
@@ -204,6 +207,11 @@ class Judge:
         self.weights = weights
         self.memo: dict[tuple[str, str], tuple[dict[str, float], dict[str, str]]] = {}
 
+    def prior(self, swap: str, source: str) -> float:
+        """Log weight of a swap against 'none' in a source."""
+        w = self.weights.get(source, {})
+        return math.log(max(w.get(swap, 0.0), FLOOR)) - math.log(w.get(NONE, 0.9))
+
     def word(self, word: str, source: str) -> tuple[dict[str, float], dict[str, str]]:
         """(log odds against 'none' of every swap, what each restores) of a word with non-ASCII characters."""
         key = (word, source)
@@ -224,6 +232,7 @@ class Judge:
         if not text or text.isascii():
             return False, text
         found, together, per_swap, spots = False, 0.0, defaultdict(float), []
+        pooled: dict[str, dict[str, float]] = defaultdict(dict)
         for m in words_of(text):
             w = m.group()
             if w.isascii():
@@ -231,23 +240,32 @@ class Judge:
             odds, back = self.word(w, source)
             best = max(odds, key=lambda k: (odds[k], k), default=None)
             spots.append((m.start(), m.end(), odds, back, best))
+            context = has_context(w)
+            if context:
+                for k, v in odds.items():
+                    pooled[k][w] = v
             if best is None or odds[best] <= 0:
                 continue
-            context = has_context(w)
             found |= odds[best] >= (ONE if context else LONE)
             together += odds[best] if context else 0.0
             for k, v in odds.items():
                 per_swap[k] += max(0.0, v)
         found |= together >= TOGETHER
+        for k, each in pooled.items():
+            if not found and len(each) > 1:
+                prior = self.prior(k, source)
+                found = sum(v - prior for v in each.values()) + prior >= POOLED
         if not found:
             return lost_characters(text), text
+        for k, each in pooled.items():
+            per_swap[k] = max(per_swap[k], sum(v - self.prior(k, source) for v in each.values()))
         chief = max(per_swap, key=lambda k: (per_swap[k], k), default=NONE)
         garbled = [best is not None and odds[best] > 0 for _, _, odds, _, best in spots]
         out, at = [], 0
         for i, (a, b, odds, back, best) in enumerate(spots):
             # the document's chief swap explains a word as well as its own best one, and words between garbled ones
             beside = any(garbled[max(0, i - 1) : i + 2])
-            if chief in odds and (odds[chief] > 0 or (beside and not garbled[i])) and odds[chief] > odds[best] - NEAR:
+            if chief in odds and (odds[chief] > 0 or beside or has_context(text[a:b])) and odds[chief] > odds[best] - NEAR:
                 use = chief
             elif garbled[i]:
                 use = best
