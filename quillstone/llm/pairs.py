@@ -56,6 +56,7 @@ FRAMING = frozenset(
 TAILS = frozenset("comes equals is please to what".split())
 _NEEDS_QUESTION = re.compile(r"(?:expression|evaluate|evaluating|of|solve|computing|calculate|compute)\s*$", re.I)
 _ENDING = re.compile(r"(?:ing|ly|ness|ful|tion|sion|ment|ould|ght|ish|ook|able|ible)$|(?:'s|n't|'ll|'d|'m|'ve|'re)$")
+_PIECES = {piece for name in FUNCTIONS for piece in name.split("_")}
 _NAMES = "|".join(sorted(FUNCTIONS, key=len, reverse=True))
 _CHUNK = re.compile(
     rf"(?:(?<![^\W\d_])(?:{_NAMES})(?=\s*[(（])|[0-9.,;_+\-*/^%!()\[\]{{}}×÷⋅∗·−–∕＋－＾（）！，；]|[^\S\n])+", re.I
@@ -126,7 +127,13 @@ def read_pair(question: str | None, output: str | None) -> tuple[str, list[str],
         return "empty", [], False
     masked, bare = mask(question or "", text)
     shape = [t.lower().replace("’", "'") for t in _SHAPE.findall(masked)]
-    latin = [w for w in shape if w not in SIGNS and w not in FUNCTIONS]
+    end = len(shape)
+    if OTHER in shape:
+        # letters behind a cut operation are the beginning of a function's name
+        last = len(shape) - 1 - shape[::-1].index(OTHER)
+        if all(any(p.startswith(w) for p in _PIECES) for w in shape[last + 1 :]):
+            end = last + 1
+    latin = [w for w in shape[:end] if w not in SIGNS and w not in FUNCTIONS]
     ended = bool(_END.search(text))
     if foreign(latin) and (NUMBER in shape or (bare and QUESTION in shape) or len(latin) > 2):
         return "language", shape, ended
