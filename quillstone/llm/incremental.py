@@ -1,10 +1,11 @@
 """Problem 5: duplicates of new batches against all history, by sorted-neighbourhood runs under several keys.
 
 Every record has two sort keys: the key of its computation tree and the key of its bare spelling. The accepted history
-is kept as runs: tables of (range, key, first_id) in the shared folder, one row per key, partitioned by key range and
-sorted by key inside. A batch is reduced to its distinct keys, sorted, and merged with the ranges it touches; a record is
-compared only with the neighbours that share a key with it. New keys become a new run, and once there are more than
-``max_runs`` runs they are compacted into one. History texts are never read again.
+is kept as runs: tables of (key, first_id) in the shared folder, one row per key, divided into fixed ranges of the key's hash
+and sorted by key inside each. A batch is reduced to its distinct keys, divided in the same way and merge-joined with the
+runs range by range; a record is compared only with the neighbours that share a key with it. The runs are bucketed, so
+history is neither shuffled nor sorted again, and its texts are never read again. New keys become a new run, and once there
+are more than ``max_runs`` runs they are compacted into one.
 
 Keys are reduced with map-side combining before the merge, and the rows of a batch come back to their keys with hot keys
 broadcast, so a key may hold any share of the rows.
@@ -27,62 +28,52 @@ from quillstone.operators.skew import join_to_groups
 from quillstone.session import cut, remove, scratch
 
 KEYS = ("tree", "text")
-RUN = "key string, first_id long, n long, fresh boolean, range int"
+RUN = "key string, first_id long, n long, fresh boolean"
 
 
 class AcceptedRuns:
-    """The persisted runs of all records accepted so far."""
+    """The persisted runs of all records accepted so far.
 
-    def __init__(self, spark: SparkSession, ranges: int = 16, max_runs: int = 6, path: str | None = None):
-        self.spark, self.ranges, self.max_runs = spark, ranges, max_runs
-        self.path = path or scratch(spark, "runs")
-        self.runs: list[str] = []
-        self.retired: list[str] = []
-        self.made = 0
+    ``ranges`` is the number of hash ranges, by default the session's shuffle partitions; it stays the same for all runs.
+    """
 
-    def _range(self) -> Column:
-        return F.floor(F.conv(F.substring("key", 1, 4), 16, 10).cast("int") * self.ranges / 65536).cast("int")
+    def __init__(self, spark: SparkSession, ranges: int | None = None, max_runs: int = 6):
+        self.spark, self.max_runs = spark, max_runs
+        self.ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.path = scratch(spark, "runs")
+        self.name = "runs_" + self.path.rsplit("-", 1)[-1]
+        self.runs: list[str] = []
+        self.paths: dict[str, str] = {}
 
     def entries(self, keyed: DataFrame) -> DataFrame:
-        """One row per distinct key of ``keyed`` (id, tree, text): range, key, smallest id and number of rows."""
+        """One row per distinct key of ``keyed`` (id, tree, text): key, smallest id and number of rows."""
         each = keyed.select("id", F.explode(F.array(*[F.col(k) for k in KEYS])).alias("key")).where("key is not null")
         one = each.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-        return one.select(self._range().alias("range"), "key", "id", "n")
-
-    def stored(self) -> DataFrame | None:
-        """(range, key, first_id) of all accepted keys."""
-        if not self.runs:
-            return None
-        read = self.spark.read.schema(RUN)
-        tables = [read.parquet(path).where("fresh").select("range", "key", "first_id") for path in self.runs]
-        return reduce(DataFrame.unionByName, tables)
+        return one.repartition(self.ranges, "key")
 
     def _add(self, run: DataFrame) -> DataFrame:
-        path = f"{self.path}-{self.made:06d}"
-        self.made += 1
-        # every writing task holds whole ranges, sorted by key
-        run.select("key", "first_id", "n", "fresh", "range").repartition("range").sortWithinPartitions(
-            "range", "key"
-        ).write.mode("overwrite").partitionBy("range").parquet(path)
-        self.runs.append(path)
+        """Persist a run that is divided by key already: every task writes one range, sorted."""
+        table = f"{self.name}_{len(self.paths):06d}"
+        path = self.paths[table] = f"{self.path}/{len(self.paths):06d}"
+        run.select("key", "first_id", "n", "fresh").write.format("parquet").mode("overwrite").bucketBy(
+            self.ranges, "key"
+        ).sortBy("key").option("path", path).saveAsTable(table)
+        self.runs.append(table)
         return self.spark.read.schema(RUN).parquet(path)
 
     def merge(self, keyed: DataFrame) -> DataFrame:
         """Merge a batch (id, tree, text) into the runs; returns its new run.
 
         The run has one row per key of the batch: ``first_id`` is the smallest id that ever had the key, ``n`` the rows
-        of the batch with it, and ``fresh`` says whether the key was new. Only fresh rows belong to the history.
+        of the batch with it, and ``fresh`` says whether the key was new. Only fresh rows belong to the history, and a
+        key is fresh in one run only.
         """
         new = self.entries(keyed)
-        old = self.stored()
-        if old is None:
-            run = new.select("range", "key", F.col("id").alias("first_id"), "n", F.lit(True).alias("fresh"))
-        else:
-            seen = F.col("first_id").isNotNull()
-            first = F.when(seen, F.least("first_id", "id")).otherwise(F.col("id"))
-            run = new.join(old, ["range", "key"], "left").select(
-                "range", "key", first.alias("first_id"), "n", (~seen).alias("fresh")
-            )
+        for i, table in enumerate(self.runs):
+            old = self.spark.table(table).where("fresh").select("key", F.col("first_id").alias(f"f{i}"))
+            new = new.join(old, "key", "left")
+        first = F.coalesce(*[F.col(f"f{i}") for i in range(len(self.runs))], F.lit(None).cast("long"))
+        run = new.select("key", F.coalesce(F.least(first, "id"), "id").alias("first_id"), "n", first.isNull().alias("fresh"))
         out = self._add(run)
         if len(self.runs) > self.max_runs:
             self.compact()
@@ -93,19 +84,20 @@ class AcceptedRuns:
         return found_in(keyed.withColumn("b", F.lit("")), self.merge(keyed).withColumn("b", F.lit(""))).drop("b")
 
     def compact(self) -> None:
-        """Merge all runs into one."""
-        old = self.runs
-        everything = self.stored()
+        """Merge all runs into one; the files of the old ones stay until ``close``, as results may still need them."""
+        tables = [self.spark.table(t).where("fresh") for t in self.runs]
+        everything = reduce(DataFrame.unionByName, tables).repartition(self.ranges, "key")
+        for table in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         self.runs = []
-        one = everything.groupBy("range", "key").agg(F.min("first_id").alias("first_id"))
-        self._add(one.withColumns({"n": F.lit(1).cast("long"), "fresh": F.lit(True)}))
-        self.retired += old
+        self._add(everything)
 
-    def close(self) -> None:
-        """Delete the runs that compaction replaced; results drawn from them must have been read."""
-        for path in self.retired:
-            remove(self.spark, path)
-        self.retired = []
+    def close(self, files: bool = False) -> None:
+        """Take the runs out of the catalog and, with ``files``, delete them."""
+        for table in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        if files:
+            remove(self.spark, self.path)
 
 
 def found_in(keyed: DataFrame, runs: DataFrame) -> DataFrame:
@@ -142,6 +134,8 @@ def repeats_of_history(
         run = store.merge(keyed.where(F.col("b") == b).select("id", "tree", "text"))
         runs.append(run.withColumn("b", F.lit(b)))
     if not runs:
+        store.close()
         return keyed.select(F.col("id").alias("first_id"), F.col("id").alias(id_col)).where(F.lit(False))
+    store.close()
     found = found_in(keyed, reduce(DataFrame.unionByName, runs))
     return found.select("first_id", F.col("id").alias(id_col))
