@@ -28,7 +28,7 @@ from quillstone.operators.skew import join_to_groups
 from quillstone.session import cut, remove, scratch
 
 KEYS = ("tree", "text")
-RUN = "key string, first_id long, n long, fresh boolean"
+RUN = "key string, first_id long, n long, fresh boolean, b string"
 
 
 class AcceptedRuns:
@@ -37,7 +37,7 @@ class AcceptedRuns:
     ``ranges`` is the number of hash ranges, by default the session's shuffle partitions; it stays the same for all runs.
     """
 
-    def __init__(self, spark: SparkSession, ranges: int | None = None, max_runs: int = 6):
+    def __init__(self, spark: SparkSession, ranges: int | None = None, max_runs: int = 4):
         self.spark, self.max_runs = spark, max_runs
         self.ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.path = scratch(spark, "runs")
@@ -51,18 +51,18 @@ class AcceptedRuns:
         one = each.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n"))
         return one.repartition(self.ranges, "key")
 
-    def _add(self, run: DataFrame) -> DataFrame:
+    def _add(self, run: DataFrame) -> str:
         """Persist a run that is divided by key already: every task writes one range, sorted."""
         table = f"{self.name}_{len(self.paths):06d}"
         path = self.paths[table] = f"{self.path}/{len(self.paths):06d}"
-        run.select("key", "first_id", "n", "fresh").write.format("parquet").mode("overwrite").bucketBy(
+        run.select("key", "first_id", "n", "fresh", "b").write.format("parquet").mode("overwrite").bucketBy(
             self.ranges, "key"
         ).sortBy("key").option("path", path).saveAsTable(table)
         self.runs.append(table)
-        return self.spark.read.schema(RUN).parquet(path)
+        return path
 
-    def merge(self, keyed: DataFrame) -> DataFrame:
-        """Merge a batch (id, tree, text) into the runs; returns its new run.
+    def merge(self, keyed: DataFrame, b: str = "") -> str:
+        """Merge a batch (id, tree, text) named ``b`` into the runs; returns the path of its new run.
 
         The run has one row per key of the batch: ``first_id`` is the smallest id that ever had the key, ``n`` the rows
         of the batch with it, and ``fresh`` says whether the key was new. Only fresh rows belong to the history, and a
@@ -73,7 +73,7 @@ class AcceptedRuns:
             old = self.spark.table(table).where("fresh").select("key", F.col("first_id").alias(f"f{i}"))
             new = new.join(old, "key", "left")
         first = F.coalesce(*[F.col(f"f{i}") for i in range(len(self.runs))], F.lit(None).cast("long"))
-        run = new.select("key", F.coalesce(F.least(first, "id"), "id").alias("first_id"), "n", first.isNull().alias("fresh"))
+        run = new.select("key", F.coalesce(F.least(first, "id"), "id").alias("first_id"), "n", first.isNull().alias("fresh"), F.lit(b).alias("b"))
         out = self._add(run)
         if len(self.runs) > self.max_runs:
             self.compact()
@@ -81,7 +81,8 @@ class AcceptedRuns:
 
     def check(self, keyed: DataFrame) -> DataFrame:
         """(id, first_id) of the rows of a batch that repeat an earlier row; the batch is accepted on the way."""
-        return found_in(keyed.withColumn("b", F.lit("")), self.merge(keyed).withColumn("b", F.lit(""))).drop("b")
+        run = self.spark.read.schema(RUN).parquet(self.merge(keyed))
+        return found_in(keyed.withColumn("b", F.lit("")), run).drop("b")
 
     def compact(self) -> None:
         """Merge all runs into one; the files of the old ones stay until ``close``, as results may still need them."""
@@ -131,11 +132,10 @@ def repeats_of_history(
     numbers = [r["b"] for r in keyed.select("b").distinct().collect()]  # one row a batch
     runs = []
     for b in sorted(numbers, key=lambda x: (x == "null", float(x) if x != "null" else 0.0)):
-        run = store.merge(keyed.where(F.col("b") == b).select("id", "tree", "text"))
-        runs.append(run.withColumn("b", F.lit(b)))
+        runs.append(store.merge(keyed.where(F.col("b") == b).select("id", "tree", "text"), b))
     if not runs:
         store.close()
         return keyed.select(F.col("id").alias("first_id"), F.col("id").alias(id_col)).where(F.lit(False))
     store.close()
-    found = found_in(keyed, reduce(DataFrame.unionByName, runs))
+    found = found_in(keyed, spark.read.schema(RUN).parquet(*runs))
     return found.select("first_id", F.col("id").alias(id_col))
