@@ -129,3 +129,8 @@ def run_lock(directory: str | Path) -> Iterator[None]:
             yield
         finally:
             fcntl.flock(f, fcntl.LOCK_UN)
+
+
+def configuration_drift(expected: dict[str, Any], actual: dict[str, Any]) -> list[str]:
+    """A warning for each setting that differs between two configurations."""
+    return [f"{k}: expected {expected[k]!r}, found {actual.get(k)!r}" for k in sorted(expected) if actual.get(k) != expected[k]]

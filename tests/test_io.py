@@ -124,6 +124,7 @@ def test_driver_pieces(tmp_path):
     assert driver.resume({"seed": 1, "patience": 2}, {"patience": 3}) == ({"seed": 1, "patience": 3}, {"patience": {"from": 2, "to": 3}})
     with pytest.raises(ValueError, match="seed"):
         driver.resume({"seed": 1}, {"seed": 2})
+    assert driver.configuration_drift({"a": 1, "b": 2}, {"a": 1}) == ["b: expected 2, found None"]
     j = driver.Journal(tmp_path / "it", 1, cfg)
     j.mark("generate", n=3)
     assert driver.Journal(tmp_path / "it", 1, cfg).done("generate")
