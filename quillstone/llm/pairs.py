@@ -268,7 +268,7 @@ def defects(df: DataFrame, id_col: str, question_col: str, output_col: str) -> D
     final = of_words.join(carried.withColumn("carried", F.lit(True)), "words", "left").select(
         "words", "n", F.when(F.col("c_ended") | F.coalesce("carried", F.lit(False)), "refusal").otherwise("truncated").alias("defect")
     )
-    final = final.unionByName(broken.withColumn("defect", F.lit("truncated")))
+    final = cut(final.unionByName(broken.withColumn("defect", F.lit("truncated"))), "verdicts")
     rest = join_to_groups(open_.select("id", "words"), final, ["words"], "n").select("id", "defect")
     return done.unionByName(rest).select(F.col("id").alias(id_col), "defect")
 
