@@ -210,7 +210,8 @@ def defects(df: DataFrame, id_col: str, question_col: str, output_col: str) -> D
                 own = " ".join(words)
                 at = own.rfind(QUESTION)
                 answered = own[:at] + NUMBER + own[at + 1 :] if kind == "bare" else None
-                stem, last = " ".join(words[:-1]), words[-1] if words else ""
+                *_, stem = stems_of(words[:-1])
+                last = words[-1] if words else ""
                 out.append((i, kind, hash_of(q), own, " ".join(words[:OPENING]), stem, last, ended, answered))
             yield pd.DataFrame(out, columns=["id", "kind", "q", "words", "opening", "stem", "last", "ended", "answered"])
 
@@ -224,7 +225,7 @@ def defects(df: DataFrame, id_col: str, question_col: str, output_col: str) -> D
     rows = cut(rows, "pairs")
     done = rows.where("kind not in ('value', 'open', 'bare')").select("id", F.col("kind").alias("defect"))
 
-    # continuations of the templates that give a value: stem of words and every beginning of the next word, so that a
+    # continuations of the templates that give a value: digest of the stem and every beginning of the next word, so that a
     # response cut within a word meets them by equality
     valued = rows.where("kind = 'value'").select("words").distinct()
 
@@ -233,11 +234,9 @@ def defects(df: DataFrame, id_col: str, question_col: str, output_col: str) -> D
             seen = set()
             for t in batch["words"]:
                 w = t.split(" ")
-                for k in range(len(w)):
-                    if w[k] == NUMBER:
-                        break
-                    stem = " ".join(w[:k])
-                    seen.update((stem, w[k][:j]) for j in range(1, len(w[k]) + 1))
+                w = w[: w.index(NUMBER)] if NUMBER in w else w
+                for stem, word in zip(stems_of(w), w, strict=False):
+                    seen.update((stem, word[:j]) for j in range(1, len(word) + 1))
             yield pd.DataFrame(sorted(seen), columns=["stem", "last"])
 
     # a bare number in the place of a value is its own answer
@@ -273,6 +272,15 @@ def defects(df: DataFrame, id_col: str, question_col: str, output_col: str) -> D
     return done.unionByName(rest).select(F.col("id").alias(id_col), "defect")
 
 
+def stems_of(words: list[str]) -> Iterator[str]:
+    """Digests of the first 0, 1, 2 … words: equal beginnings meet by equality, at a cost linear in the text."""
+    h = hashlib.md5()
+    yield h.hexdigest()
+    for w in words:
+        h.update(w.encode("utf-8", "surrogatepass") + b" ")
+        yield h.hexdigest()
+
+
 def _shingle_lists(words: pd.Series) -> pd.Series:
     return words.map(lambda w: shingles(w.split(" ")))
 
