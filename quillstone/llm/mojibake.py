@@ -81,14 +81,14 @@ def _decode(raw: bytes, page: str) -> str | None:
         return None
 
 
-def swaps(word: str) -> dict[str, str]:
-    """Every swap that could have made ``word``, with what it restores."""
+def swaps(word: str, pages: tuple[str, ...] | None = None) -> dict[str, str]:
+    """Every swap that could have made ``word``, with what it restores; ``pages`` limits the true code pages."""
     out: dict[str, str] = {}
     for page in READ_AS:
         raw = _bytes(word, page)
         if raw is None:
             continue
-        for true in TRUE if page not in ("cp1252",) else TRUE + WIDE:
+        for true in pages or (TRUE + WIDE if page == "cp1252" else TRUE):
             if true == page:
                 continue
             back = _decode(raw, true)
@@ -305,7 +305,7 @@ def learn(df: DataFrame, text_col: str, source_col: str, rounds: int = 3) -> tup
                     words[w, _source(source)] += 1
                     ok = trusted.get(w)
                     if ok is None:
-                        ok = _SCRAP not in w and not any("utf-8" in k for k in swaps(w))
+                        ok = _SCRAP not in w and not swaps(w, ("utf-8",))
                         if len(trusted) > 200_000:
                             trusted.clear()
                         trusted[w] = ok
