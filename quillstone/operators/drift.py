@@ -4,8 +4,9 @@ The fields of every file are aggregated to one small schema row a file; each sch
 file before it by similarity flooding: pairs of fields start from the likeness of their names and types, scores flow
 between a pair and the pairs of its members and its parent until they settle, and consistent one-to-one
 correspondences are selected. Matching works on schemas, so its cost does not depend on the rows of a file. The same
-matching against the prevailing schema of the whole table gives the canonical name of every field of every file, by
-which all lines are cast and united.
+matching against the prevailing schema of the whole table gives the other names of its fields: each file votes for the
+names it matches, and a name that stands beside the prevailing one in as many files is another field. Fields outside the
+prevailing schema keep their own name below their canonical parent, so every field that any file has is in the table.
 
 Defined cases: null, torn and non-object lines are left out; a file without a readable line is no file. A field whose
 values are all null belongs to its file but has no type: it can be renamed to a field of any type, and is never
@@ -15,15 +16,19 @@ lines change nothing. Empty tables give empty results. Runs with a null id form
 
 from __future__ import annotations
 
+import json
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from decimal import Decimal
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.operators.nested import kind_of, read_json
+from quillstone.operators.nested import kind_of, read_json, unwrapped
 from quillstone.session import cut
 
 #: Files of a run that one window task orders at most; the rest is linked from bucket to bucket.
@@ -244,11 +249,18 @@ def schema_changes(df: DataFrame, run: str, seq: str, record: str, ignore: Seque
     return out.select(F.col("run").alias(run), F.col("seq").alias(seq), "change", "old_field", "new_field")
 
 
+def _bounded(rows: DataFrame, max_fields: int) -> list:
+    found = rows.limit(max_fields + 1).collect()
+    if len(found) > max_fields:
+        raise ValueError(f"more than {max_fields} fields: these names are data")
+    return found
+
+
 def prevailing_schema(files: DataFrame, targets: Sequence[str], share: float = 0.5, max_fields: int = 10_000) -> Schema:
     """The fields below ``targets`` that at least ``share`` of the files holding the target have, by their commonest kind."""
     each = files.select(F.explode("fields").alias("f")).select("f.path", "f.kind")
     each = each.where(F.split("path", "\u0001")[0].isin(*targets) & (F.col("kind") != ""))
-    rows = each.groupBy("path", "kind").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "path").limit(max_fields).collect()
+    rows = _bounded(each.groupBy("path", "kind").agg(F.count("*").alias("n")), max_fields)
     best: dict[str, tuple[int, str]] = {}
     total: Counter = Counter()
     for r in rows:
@@ -258,62 +270,244 @@ def prevailing_schema(files: DataFrame, targets: Sequence[str], share: float = 0
     return {tuple(p.split("\u0001")): k for p, k in keep.items()}
 
 
+Aliases = dict[tuple[int, str], list[str]]
+
+
+def other_names(files: DataFrame, canon: Schema, max_fields: int = 10_000) -> Aliases:
+    """(depth, name) of other names to the canonical names they stand for, the likeliest first.
+
+    A name stands for another if more files match the two than have both beside each other in one object.
+    """
+    known = frozenset((len(c), c[-1]) for c in canon)
+
+    def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            seen: Counter = Counter()
+            for fields in batch["fields"]:
+                schema = _schema(fields)
+                pairs = {(len(c), c[-1], b[-1]) for c, b in correspondences(canon, schema).items()}
+                seen.update((*p, 1) for p in pairs if p[1] != p[2])
+                objects: dict[tuple, set[str]] = {}
+                for path in schema:
+                    objects.setdefault(path[:-1], set()).add(path[-1])
+                beside = set()
+                for up, names in objects.items():
+                    here = {n for n in names if (len(up) + 1, n) in known}
+                    beside |= {(len(up) + 1, c, n) for c in here for n in names - here}
+                seen.update((*p, -1) for p in beside)
+            rows = [(*k[:3], k[3] * n) for k, n in seen.items()]
+            yield pd.DataFrame(rows, columns=["depth", "name", "other", "n"])
+
+    each = files.select("fields").mapInPandas(votes, "depth int, name string, other string, n long")
+    rows = _bounded(each.groupBy("depth", "name", "other").agg(F.sum("n").alias("n")).where("n > 0"), max_fields)
+    out: Aliases = {}
+    for r in sorted(rows, key=lambda r: (-r["n"], r["name"])):
+        out.setdefault((r["depth"], r["other"]), []).append(r["name"])
+    return out
+
+
+def canonical_values(rec: dict, canon: Schema, aliases: Aliases, ignore: frozenset[str]) -> Iterator[tuple[tuple, object]]:
+    """(canonical path, value) of every member that is no object, and of empty objects.
+
+    Where the canonical field is an object, a text or a single-element list that holds one is read as it, and the
+    elements of a list go to the members that one of their texts names.
+    """
+    todo: list[tuple[tuple, object]] = [((), {k: v for k, v in rec.items() if k not in ignore})]
+    while todo:
+        up, value = todo.pop()
+        if canon.get(up) == "object" and not isinstance(value, dict):
+            inner = unwrapped(value)
+            if isinstance(inner, list) and len(inner) == 1 and isinstance(inner[0], dict) and not _member(up, inner[0], canon):
+                inner = inner[0]
+            elif isinstance(inner, list) and inner and all(isinstance(x, dict) for x in inner):
+                named = {_member(up, x, canon): x for x in inner}
+                if len(named) == len(inner) and None not in named:
+                    inner = named
+            value = inner if isinstance(inner, dict) else value
+        if not isinstance(value, dict) or (up and not value):
+            yield up, value
+            continue
+        taken = {up + (k,) for k in value}
+        for k, v in value.items():
+            at = up + (k,)
+            if at not in canon:
+                for c in aliases.get((len(at), k), ()):
+                    if up + (c,) in canon and up + (c,) not in taken:
+                        at = up + (c,)
+                        taken.add(at)
+                        break
+            todo.append((at, v))
+
+
+def _member(up: tuple, element: dict, canon: Schema) -> str | None:
+    """The member object of ``up`` that a text of the element names."""
+    return next((v for v in element.values() if isinstance(v, str) and canon.get(up + (v,)) == "object"), None)
+
+
 _SQL_TYPE = {"text": "string", "whole number": "bigint", "decimal number": "double", "truth value": "boolean"}
+_NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+_READ = re.compile(rf"\s*({_NUMBER})\s*(?:(%)|/\s*({_NUMBER}))?\s*", re.A)
+
+
+def read_number(value: object) -> tuple[int | float | None, str]:
+    """The number a value holds, and its form: '' (a plain number), '%' or '/'. None for what is none."""
+    if isinstance(value, (int, float)) and not isinstance(value, bool):
+        return value, ""
+    m = _READ.fullmatch(value) if isinstance(value, str) and len(value) < 400 else None
+    if not m:
+        return None, ""
+    number, percent, below = m.groups()
+    try:
+        if percent:
+            return float(Decimal(number) / 100), "%"
+        if below:
+            return (float(Fraction(number) / Fraction(below)), "/") if Fraction(below) else (None, "")
+        return (int(number), "") if number.lstrip("+-").isdigit() else (float(number), "")
+    except (ArithmeticError, ValueError):
+        return None, ""
+
+
+def _single(value: object) -> object:
+    """The element of a list that holds one value, also as text."""
+    inner = unwrapped(value)
+    return inner[0] if isinstance(inner, list) and len(inner) == 1 and not isinstance(inner[0], (dict, list)) else value
+
+
+def _form(value: object) -> str:
+    """The kind of a value as it decides the type of a column; numbers written with a sign of their own are 'share'."""
+    value = _single(value)
+    number, sign = read_number(value)
+    if number is None:
+        return kind_of(value)
+    if sign:
+        return "share"
+    whole = isinstance(number, int) or (math.isfinite(number) and number == int(number))
+    return "whole number" if whole else "decimal number"
+
+
+def column_kind(forms: dict[str, int]) -> str:
+    """The kind of a field's column: numbers, text or truth values, whichever most values are; '' if it has only members."""
+    numbers = sum(forms.get(k, 0) for k in ("whole number", "decimal number", "share"))
+    n, kind = max((numbers, "number"), (forms.get("text", 0), "text"), (forms.get("truth value", 0), "truth value"))
+    if not n:
+        return "text" if "array" in forms or set(forms) == {""} else ""
+    if kind != "number":
+        return kind
+    return "decimal number" if "decimal number" in forms or "whole number" not in forms else "whole number"
+
+
+def cast_value(value: object, kind: str) -> tuple[object, bool]:
+    """The value as ``kind``, None where it does not fit, and whether that says all the value said."""
+    value = _single(value)
+    if kind == "text":
+        if isinstance(value, str):
+            return value, True
+        return json.dumps(value, ensure_ascii=False), True
+    if kind == "truth value":
+        if isinstance(value, bool):
+            return value, True
+        known = {"true": True, "false": False}.get(value.strip().lower()) if isinstance(value, str) else None
+        return known, known is not None
+    number, sign = read_number(value)
+    if number is None:
+        return None, False
+    try:
+        if kind == "decimal number":
+            return float(number), sign != "/" and (isinstance(number, float) or int(float(number)) == number)
+        if number != int(number) or not -(2**63) <= number < 2**63:
+            return None, False
+        return int(number), sign != "/"
+    except (OverflowError, ValueError):
+        return None, False
+
+
+def _column_names(paths: Sequence[tuple], taken: Sequence[str]) -> list[str]:
+    """Path names joined by ``_``, told apart by a number where that leaves two alike in any case."""
+    used, out = {t.lower() for t in taken}, []
+    for p in paths:
+        name = first = re.sub(r"\W", "_", "_".join(p)) or "_"
+        n = 1
+        while name.lower() in used:
+            n += 1
+            name = f"{first}_{n}"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def united(
-    df: DataFrame, id_cols: Sequence[str], run: str, seq: str, record: str, targets: Sequence[str], ignore: Sequence[str]
+    df: DataFrame,
+    id_cols: Sequence[str],
+    run: str,
+    seq: str,
+    record: str,
+    targets: Sequence[str],
+    ignore: Sequence[str],
+    max_fields: int = 10_000,
 ) -> DataFrame:
-    """All readable lines as one table: ``id_cols`` and one typed column per leaf of the prevailing schema.
+    """All readable lines as one table: ``id_cols``, one typed column per canonical field of any file, and ``extras``.
 
-    Each file's schema is matched with the prevailing one; the values of a line are looked up under the names its file
-    uses and cast. What cannot be cast is null.
+    The values of a line are found under the canonical name of each member and read as the type that most values of the
+    field have: numbers also from text, percent, fractions and lists of one value. ``extras`` maps the dotted path (dots in names as ``\\.``) to
+    the JSON of every value that does not fit its column, and of fractions, whose parts a number does not keep.
+    More than ``max_fields`` fields are an error.
     """
     files = cut(file_fields(df, record, [run, seq], ignore), "file-fields")
-    canon = prevailing_schema(files, targets)
-    leaves = sorted(p for p, k in canon.items() if k in _SQL_TYPE)
-    if not leaves:
-        return df.select(*id_cols).where(F.lit(False))
+    canon = prevailing_schema(files, targets, max_fields=max_fields)
+    aliases = other_names(files, canon, max_fields)
+    skip = frozenset(ignore)
 
-    def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            maps = []
-            for fields in batch["fields"]:
-                match = correspondences(canon, _schema(fields))
-                maps.append({".".join(c): "\u0001".join(match[c]) for c in leaves if c in match})
-            yield pd.DataFrame({"run": batch["run"], "seq": batch["seq"], "names": maps})
-
-    keyed = files.select(F.col(run).alias("run"), F.col(seq).alias("seq"), "fields")
-    kinds = {f.name: f.dataType.simpleString() for f in keyed.schema.fields}
-    maps = keyed.mapInPandas(names, f"run {kinds['run']}, seq {kinds['seq']}, names map<string,string>").alias("m")
-    lines = df.select(*id_cols, F.col(run).alias("run"), F.col(seq).alias("seq"), F.col(record).alias("rec")).alias("d")
-    joined = lines.join(
-        maps, F.col("d.run").eqNullSafe(F.col("m.run")) & F.col("d.seq").eqNullSafe(F.col("m.seq")), "inner"
-    ).select(*[F.col(f"d.{c}") for c in id_cols], "rec", "names")
-    wanted = [".".join(c) for c in leaves]
-
-    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            values = []
-            for text, mapping in zip(batch["rec"], batch["names"], strict=True):
+            seen: Counter = Counter()
+            for text in batch["r"]:
                 rec = read_json(text)
-                row = {}
                 if isinstance(rec, dict):
-                    mapping = dict(mapping)
-                    for c in wanted:
-                        at: object = rec
-                        for step in mapping[c].split("\u0001") if c in mapping else ("",):
-                            at = at.get(step) if isinstance(at, dict) else None
-                        if at is not None and not isinstance(at, (dict, list)):
-                            row[c] = str(at).lower() if isinstance(at, bool) else str(at)
-                    values.append(row)
-                else:
-                    values.append(None)
-            yield batch.drop(columns=["rec", "names"]).assign(v=values)
-
-    id_types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema.fields if f.name in id_cols)
-    flat = joined.mapInPandas(look_up, f"{id_types}, v map<string,string>").where("v is not null")
-    typed = [
-        F.expr(f"try_cast(v['{'.'.join(c)}'] as {_SQL_TYPE[canon[c]]})").alias("_".join(c)) for c in leaves
-    ]
-    return flat.select(*id_cols, *typed)
+                    seen.update(("\u0001".join(p), _form(v)) for p, v in canonical_values(rec, canon, aliases, skip))
+            yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["path", "form", "n"])
+
+    counted = df.select(F.col(record).cast("string").alias("r")).mapInPandas(forms, "path string, form string, n long")
+    found: dict[tuple, dict[str, int]] = {}
+    for r in _bounded(counted.groupBy("path", "form").agg(F.sum("n").alias("n")), 7 * max_fields):
+        if r["path"] or r["form"] != "object":
+            found.setdefault(tuple(r["path"].split("\u0001")), {})[r["form"]] = r["n"]
+    if len(found) > max_fields:
+        raise ValueError(f"more than {max_fields} fields: these names are data")
+    # prevailing fields come first and take the plain names
+    kinds = {p: k for p in sorted(found, key=lambda p: (p not in canon, p)) if (k := column_kind(found[p]))}
+    ids = [f"i{k}" for k in range(len(id_cols))]
+    names = dict(zip(kinds, _column_names(list(kinds), [*id_cols, "extras"]), strict=True))
+    inner = {p: f"c{k}" for k, p in enumerate(kinds)}
+
+    def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            kept, rows, extras = [], [], []
+            for k, text in enumerate(batch["r"]):
+                rec = read_json(text)
+                if not isinstance(rec, dict):
+                    continue
+                row, extra = {}, {}
+                for p, v in canonical_values(rec, canon, aliases, skip):
+                    if v is None:
+                        continue
+                    cast, whole = cast_value(v, kinds[p]) if p in kinds else (None, False)
+                    if p in inner:
+                        row[inner[p]] = cast
+                    if not whole and v != {}:
+                        extra[".".join(k.replace(".", r"\.") for k in p)] = json.dumps(v, ensure_ascii=False)
+                kept.append(k)
+                rows.append(row)
+                extras.append(extra)
+            out = batch.iloc[kept][ids].reset_index(drop=True)
+            cols = {c: pd.Series([r.get(c) for r in rows], dtype=object) for c in inner.values()}
+            yield pd.concat([out, pd.DataFrame(cols), pd.DataFrame({"extras": pd.Series(extras, dtype=object)})], axis=1)
+
+    types = [f"{i} {df.schema[c].dataType.simpleString()}" for i, c in zip(ids, id_cols, strict=True)]
+    types += [f"{inner[p]} {_SQL_TYPE[k]}" for p, k in kinds.items()]
+    lines = df.select(*[F.col(c).alias(i) for c, i in zip(id_cols, ids, strict=True)], F.col(record).cast("string").alias("r"))
+    flat = lines.mapInPandas(values, ", ".join([*types, "extras map<string,string>"]))
+    return flat.select(
+        *[F.col(i).alias(c) for c, i in zip(id_cols, ids, strict=True)],
+        *[F.col(inner[p]).alias(names[p]) for p in kinds],
+        "extras",
+    )

@@ -155,6 +155,34 @@ def test_drift_of_nulls_and_swaps(spark):
     assert changes(spark, (0, [None, "", "[1]"])) == []
 
 
+def test_united_keeps_every_field(spark):
+    full = {"pre": {"n": 4, "acc": 0.5, "low": {"effort": "low", "right": 1}, "top": {"effort": "top", "right": 2}}}
+    records = [full] * 6 + [
+        {"pre": {"n": "4", "acc": "12.5%", "retries": 3, "low": {"effort": "low", "hits": 7}}},
+        {"before": {"n": [5], "share": 0.25, "low": {"effort": "low", "right": 8.0}}},
+        {"pre": [{"effort": "low", "right": 5}, {"effort": "top", "right": 6}]},
+        {"pre": "59/120"},
+        {"pre": {"n": 4.5, "note": ["a", "b"], "Acc": 1, "acc": 0.75}},
+        {"pre": {"n": 4, "retries": 9}, "other": True},
+        {},
+    ]
+    rows = [(i, "r", i, json.dumps(x)) for i, x in enumerate(records)] + [(99, "r", 99, '{"pre": {')]
+    df = spark.createDataFrame(rows, "id long, run string, seq int, rec string")
+    got = {r["id"]: r for r in D.united(df, ["id"], "run", "seq", "rec", ["pre"], []).collect()}
+    assert sorted(got) == list(range(13))
+    said = lambda i: {k: v for k, v in got[i].asDict().items() if v is not None and k not in ("id", "extras")}
+    assert said(0) == {"pre_n": 4, "pre_acc": 0.5, "pre_low_effort": "low", "pre_low_right": 1, "pre_top_effort": "top", "pre_top_right": 2}
+    assert said(6) == {"pre_n": 4, "pre_acc": 0.125, "pre_retries": 3, "pre_low_effort": "low", "pre_low_right": 7}
+    assert said(7) == {"pre_n": 5, "pre_acc": 0.25, "pre_low_effort": "low", "pre_low_right": 8}
+    assert said(8) == {"pre_low_effort": "low", "pre_low_right": 5, "pre_top_effort": "top", "pre_top_right": 6}
+    assert said(9) == {"pre": 59 / 120} and got[9]["extras"] == {"pre": '"59/120"'}
+    # names that differ in case only, and two spellings in one object
+    assert said(10) == {"pre_n": 4.5, "pre_Acc_2": 1, "pre_acc": 0.75, "pre_note": '["a", "b"]'}
+    assert said(11) == {"pre_n": 4, "pre_retries": 9, "other": True} and said(12) == {}
+    with pytest.raises(ValueError):
+        D.united(df, ["id"], "run", "seq", "rec", ["pre"], [], max_fields=5)
+
+
 def test_drift_predecessors(spark):
     rows = [("a", s) for s in (0, 5, 1023, 1024, 5000, 5001)] + [(None, 3), (None, 9)]
     df = spark.createDataFrame(rows, "run string, seq int")
