@@ -344,7 +344,7 @@ def _member(up: tuple, element: dict, canon: Schema) -> str | None:
     return next((v for v in element.values() if isinstance(v, str) and canon.get(up + (v,)) == "object"), None)
 
 
-_SQL_TYPE = {"text": "string", "whole number": "bigint", "decimal number": "double", "truth value": "boolean"}
+SQL_TYPE = {"text": "string", "whole number": "bigint", "decimal number": "double", "truth value": "boolean"}
 _NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
 _READ = re.compile(rf"\s*({_NUMBER})\s*(?:(%)|/\s*({_NUMBER}))?\s*", re.A)
 
@@ -373,7 +373,7 @@ def _single(value: object) -> object:
     return inner[0] if isinstance(inner, list) and len(inner) == 1 and not isinstance(inner[0], (dict, list)) else value
 
 
-def _form(value: object) -> str:
+def form_of(value: object) -> str:
     """The kind of a value as it decides the type of a column; numbers written with a sign of their own are 'share'."""
     value = _single(value)
     number, sign = read_number(value)
@@ -421,7 +421,7 @@ def cast_value(value: object, kind: str) -> tuple[object, bool]:
         return None, False
 
 
-def _column_names(paths: Sequence[tuple], taken: Sequence[str]) -> list[str]:
+def column_names(paths: Sequence[tuple], taken: Sequence[str]) -> list[str]:
     """Path names joined by ``_``, told apart by a number where that leaves two alike in any case."""
     used, out = {t.lower() for t in taken}, []
     for p in paths:
@@ -463,7 +463,7 @@ def united(
             for text in batch["r"]:
                 rec = read_json(text)
                 if isinstance(rec, dict):
-                    seen.update(("\u0001".join(p), _form(v)) for p, v in canonical_values(rec, canon, aliases, skip))
+                    seen.update(("\u0001".join(p), form_of(v)) for p, v in canonical_values(rec, canon, aliases, skip))
             yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["path", "form", "n"])
 
     counted = df.select(F.col(record).cast("string").alias("r")).mapInPandas(forms, "path string, form string, n long")
@@ -474,9 +474,11 @@ def united(
     if len(found) > max_fields:
         raise ValueError(f"more than {max_fields} fields: these names are data")
     # prevailing fields come first and take the plain names
-    kinds = {p: k for p in sorted(found, key=lambda p: (p not in canon, p)) if (k := column_kind(found[p]))}
+    within = {p[:k] for p in found for k in range(len(p))}
+    order = sorted((p for p in found if set(found[p]) != {""} or p not in within), key=lambda p: (p not in canon, p))
+    kinds = {p: k for p in order if (k := column_kind(found[p]))}
     ids = [f"i{k}" for k in range(len(id_cols))]
-    names = dict(zip(kinds, _column_names(list(kinds), [*id_cols, "extras"]), strict=True))
+    names = dict(zip(kinds, column_names(list(kinds), [*id_cols, "extras"]), strict=True))
     inner = {p: f"c{k}" for k, p in enumerate(kinds)}
 
     def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -503,7 +505,7 @@ def united(
             yield pd.concat([out, pd.DataFrame(cols), pd.DataFrame({"extras": pd.Series(extras, dtype=object)})], axis=1)
 
     types = [f"{i} {df.schema[c].dataType.simpleString()}" for i, c in zip(ids, id_cols, strict=True)]
-    types += [f"{inner[p]} {_SQL_TYPE[k]}" for p, k in kinds.items()]
+    types += [f"{inner[p]} {SQL_TYPE[k]}" for p, k in kinds.items()]
     lines = df.select(*[F.col(c).alias(i) for c, i in zip(id_cols, ids, strict=True)], F.col(record).cast("string").alias("r"))
     flat = lines.mapInPandas(values, ", ".join([*types, "extras map<string,string>"]))
     return flat.select(

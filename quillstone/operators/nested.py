@@ -2,8 +2,8 @@
 
 A first pass infers the merged schema: every path below the chosen roots with the kinds of value seen there. A second
 pass explodes each array level of a record in one narrow stage: every array element becomes a row that carries its own
-surrogate key, its parent's, the path of its array and its ordinal. A child table is a filter on these rows plus
-``from_json`` with the inferred type. The recursion over unknown depth, JSON held in text at any level and kinds that
+surrogate key, its parent's, the path of its array and its ordinal. The root table and the child tables with typed values
+are made by ``tables``. The recursion over unknown depth, JSON held in text at any level and kinds that
 change from row to row cannot be stated with built-in functions, so both passes are Arrow-batched Python; there is no
 shuffle but that of the small schema aggregation.
 
@@ -145,12 +145,16 @@ def explode_nested(
     rows = df.select(F.col(id_col).alias("i"), F.col(record).cast("string").alias("r")).mapInPandas(
         nodes, NODE_SCHEMA.format(id=id_type)
     )
+    return node_keys(rows)
+
+
+def node_keys(rows: DataFrame) -> DataFrame:
+    """Adds ``node_id`` and ``parent_id``; rows without ordinal are the records themselves and have no parent."""
     key = lambda p, o: F.md5(F.concat_ws("\u0001", F.col("record_id").cast("string"), p, o.cast("string")))
-    own = key(F.col("path"), F.col("ordinal"))
-    parent = F.when(F.col("parent_path").isNull(), F.md5(F.col("record_id").cast("string"))).otherwise(
-        key(F.col("parent_path"), F.col("parent_ordinal"))
-    )
-    return rows.withColumns({"node_id": own, "parent_id": parent})
+    root = F.md5(F.col("record_id").cast("string"))
+    own = F.when(F.col("ordinal").isNull(), root).otherwise(key(F.col("path"), F.col("ordinal")))
+    parent = F.when(F.col("parent_path").isNull(), root).otherwise(key(F.col("parent_path"), F.col("parent_ordinal")))
+    return rows.withColumns({"node_id": own, "parent_id": F.when(F.col("ordinal").isNotNull(), parent)})
 
 
 def object_elements(df: DataFrame, id_col: str, record: str, roots: Sequence[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from quillstone.operators import evals as E
 from quillstone.operators import nested as N
 from quillstone.operators import runlog as R
 from quillstone.operators import sampling as S
+from quillstone.operators import tables as TB
 from quillstone.operators.skew import balanced_rank, join_to_groups
 
 # --- problem 2 ------------------------------------------------------------------------------------------------------
@@ -113,6 +114,31 @@ def test_nested_keys_and_child_table(spark):
         N.array_names(schema, 1)
 
 
+def test_nested_values(spark):
+    rows = [
+        (1, '{"t": {"a": {"x": 0.5}, "c": [{"n": "x", "d": {"e": 1}, "r": [{"s": 1}, {"s": "2"}], "i": [7, null, 8]}, {"n": "y", "r": {"s": 3}}]}}'),
+        (2, '{"t": "{\\"a\\": {\\"x\\": 2, \\"z\\": true}, \\"c\\": null}"}'),
+        (3, "[1"),
+        (4, '{"t": {"a": {"x": "none"}}}'),
+    ]
+    df = spark.createDataFrame(rows, "history_id long, record string")
+    table = lambda name: TB.typed_table(df, "history_id", "record", ["t"], name).cache()
+    root, c, r, i = table(""), table("t.c"), table("t.c[].r"), table("t.c[].i")
+    assert sorted((x["record_id"], x["t_a_x"], x["t_a_z"], x["extras"]) for x in root.collect()) == [
+        (1, 0.5, None, {}), (2, 2.0, True, {}), (4, None, None, {"t.a.x": '"none"'})
+    ]
+    assert sorted((x["ordinal"], x["n"], x["d_e"]) for x in c.collect()) == [(0, "x", 1), (1, "y", None)]
+    ups = lambda a, b: a.alias("a").join(b.alias("b"), F.col("a.parent_id") == F.col("b.node_id"))
+    assert sorted(map(tuple, ups(r, c).select("b.n", "a.s").collect())) == [("x", 1), ("x", 2), ("y", 3)]
+    assert sorted(map(tuple, ups(i, c).select("b.n", "a.ordinal", "a.value").collect())) == [("x", 0, 7), ("x", 2, 8)]
+    assert ups(c, root).select("b.record_id").distinct().collect() == [(1,)]
+    # the same nodes as the explosion, and the records
+    old = N.explode_nested(df, "history_id", "record", ["t"]).select("table", "node_id", "parent_id", "path", "ordinal", "kind")
+    new = TB.all_rows(df, "history_id", "record", ["t"])
+    assert sorted(map(tuple, old.collect())) == sorted(tuple(x) for x in new.where("table <> ''").select(old.columns).collect())
+    assert {x["body"] for x in new.where("table = 't.c'").collect()} == {'{"d.e": 1, "n": "x"}', '{"n": "y"}'}
+
+
 # --- problem 4 ------------------------------------------------------------------------------------------------------
 
 
