@@ -7,8 +7,9 @@ is either cut off or a refusal, and that is read from the templates of all respo
 * A response whose words begin a template that goes on to a value in other pairs was cut off.
 * Openings (and for short responses the whole) are clustered by MinHash over five-word shingles, candidates of one band
   being verified against the smallest member at a similarity of 0.8. A cluster that never gives a value, recurs over
-  unrelated questions and ends its sentences declines or evades. Shingles that recur in such clusters carry the finding
-  over to rarer wordings.
+  unrelated questions and ends its sentences declines or evades: shingles of ended templates that come with at least two
+  different computations recur, and carry the finding over to all wordings that have one of them. A wording that ends its
+  sentences and has none is rare; it declines too, unless it has a shingle of a template that gives a value.
 * All others break off without an end, and are cut off.
 
 Defined cases: null outputs, and such as hold no letter or digit, are empty. A null question matches nothing. A bare
@@ -212,7 +213,8 @@ def defects(df: DataFrame, id_col: str, question_col: str, output_col: str) -> D
                 answered = own[:at] + NUMBER + own[at + 1 :] if kind == "bare" else None
                 *_, stem = stems_of(words[:-1])
                 last = words[-1] if words else ""
-                out.append((i, kind, hash_of(q), own, " ".join(words[:OPENING]), stem, last, ended, answered))
+                asked = (operation_keys(q or "")[0] or q) if kind in ("open", "bare") else q
+                out.append((i, kind, hash_of(asked), own, " ".join(words[:OPENING]), stem, last, ended, answered))
             yield pd.DataFrame(out, columns=["id", "kind", "q", "words", "opening", "stem", "last", "ended", "answered"])
 
     kind = df.schema[id_col].dataType.simpleString()
@@ -248,24 +250,33 @@ def defects(df: DataFrame, id_col: str, question_col: str, output_col: str) -> D
     goes_on = valued.mapInPandas(stems, "stem string, last string").distinct()
     # one row per open template
     templates = open_.groupBy("words", "opening", "stem", "last").agg(
-        F.max("ended").alias("ended"), F.approx_count_distinct("q").alias("questions"), F.count("*").alias("n")
+        F.max("ended").alias("ended"), F.count("*").alias("n")
     )
     templates = cut(templates, "templates")
     broken = templates.join(goes_on, ["stem", "last"], "left_semi").select("words", "n")
     left = templates.join(broken, "words", "left_anti")
-    openings = left.groupBy("opening").agg(F.max("ended").alias("ended"), F.sum("questions").alias("questions"))
+    openings = left.groupBy("opening").agg(F.max("ended").alias("ended"))
     clusters = opening_clusters(openings)
-    judged = openings.join(clusters, "opening").groupBy("cluster").agg(
-        F.max("ended").alias("c_ended"), F.sum("questions").alias("c_questions")
-    )
-    # shingles of clusters that end their sentences carry over to unended wordings of other clusters
-    of_words = left.join(clusters, "opening").join(judged, "cluster")
     gram = F.pandas_udf(_shingle_lists, ArrayType(StringType()))
-    grams = cut(of_words.select("words", "c_ended", "ended", F.explode(gram("words")).alias("g")), "shingles")
-    recurring = grams.groupBy("g").agg(F.max("ended").alias("declines"), F.count("*").alias("n")).where("declines")
-    carried = join_to_groups(grams.where("not c_ended").select("words", "g"), recurring, ["g"], "n").select("words").distinct()
-    final = of_words.join(carried.withColumn("carried", F.lit(True)), "words", "left").select(
-        "words", "n", F.when(F.col("c_ended") | F.coalesce("carried", F.lit(False)), "refusal").otherwise("truncated").alias("defect")
+    grams = cut(left.select("words", "ended", F.explode(gram("words")).alias("g")), "shingles")
+    # shingles of ended templates that recur over different questions, counted exactly
+    told = grams.where("ended").groupBy("words").agg(F.collect_list("g").alias("gs"), F.lit(1).cast("long").alias("n"))
+    asked = open_.select("words", "q").distinct()
+    over = join_to_groups(asked, told, ["words"], "n").select("q", F.explode("gs").alias("g")).distinct()
+    recurring = over.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
+    recurs = cut(join_to_groups(grams.select("words", "g"), recurring, ["g"], "n").select("words").distinct(), "recurring")
+    of_words = left.join(clusters, "opening").join(recurs.withColumn("recurs", F.lit(True)), "words", "left")
+    judged = of_words.groupBy("cluster").agg(F.max("ended").alias("c_ended"), F.max("recurs").alias("c_recurs"))
+    of_words = cut(of_words.join(judged, "cluster").na.fill(False, ["recurs", "c_recurs"]), "judged")
+    # rare wordings that are told like a value
+    rare = grams.join(of_words.where("c_ended and not c_recurs").select("words"), "words", "left_semi").select("words", "g")
+    like_value = rare.join(valued.select(F.explode(gram("words")).alias("g")).distinct(), "g", "left_semi").select("words").distinct()
+    final = of_words.join(like_value.withColumn("like_value", F.lit(True)), "words", "left").select(
+        "words",
+        "n",
+        F.when(F.col("recurs") | (F.col("c_ended") & (F.col("c_recurs") | F.col("like_value").isNull())), "refusal")
+        .otherwise("truncated")
+        .alias("defect"),
     )
     final = cut(final.unionByName(broken.withColumn("defect", F.lit("truncated"))), "verdicts")
     rest = join_to_groups(open_.select("id", "words"), final, ["words"], "n").select("id", "defect")

@@ -201,6 +201,28 @@ def test_pairs_by_templates(spark):
     assert pairs.defects(df.limit(0), "answer_id", "operation", "output").count() == 0
 
 
+def test_pairs_by_recurrence(spark):
+    value = "Well, here I take the parts one after another, which leaves {v} at the end."
+    rows = [(i, f"{i}+3", value.format(v=i + 3)) for i in range(10)]
+    want = {}
+    for q, say, defect in [
+        # told like a value, broken off after a full stop, once
+        ("5*8", "Now I take the parts one after another.", "truncated"),
+        # the same shingle with one question only, however written, carries nothing
+        ("5 * 8", "Look, I take the parts one after another, and", "truncated"),
+        ("6*8", "This is not for me to work out.", "refusal"),
+        ("7*8", "So this is not for me to work out and", "truncated"),
+        ("1*8", "Regrettably I must decline to answer this.", "refusal"),
+        ("2*8", "Sadly I must decline to answer this.", "refusal"),
+        ("3*8", "My friend, I must decline to answer this because", "refusal"),
+    ]:
+        want[len(rows)] = defect
+        rows.append((len(rows), q, say))
+    df = spark.createDataFrame(rows, "answer_id long, operation string, output string")
+    got = {r["answer_id"]: r["defect"] for r in pairs.defects(df, "answer_id", "operation", "output").collect()}
+    assert got == want
+
+
 # --- 7: tokens -------------------------------------------------------------------------------------------------------
 
 
