@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quillstone.llm import formatting, incremental, ledger, mojibake, packing, pairs, tokens
 
+#: pack_capacity is a fixed small table; more capacities than this are an error.
+MAX_CAPACITIES = 1000
+
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -42,7 +45,9 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
     sizes = tokens.encode_column(_table(spark, sf, "documents"), "doc_id", "text", sizes=True)
-    rows = _table(spark, sf, "pack_capacity").select("capacity").distinct().limit(1000).collect()  # a fixed small table
+    rows = _table(spark, sf, "pack_capacity").select("capacity").distinct().limit(MAX_CAPACITIES + 1).collect()
+    if len(rows) > MAX_CAPACITIES:
+        raise ValueError(f"more than {MAX_CAPACITIES} capacities")
     return packing.pack_all(sizes, "doc_id", "n_tokens", [r["capacity"] for r in rows])
 
 

@@ -27,17 +27,17 @@ def init_run(examples: DataFrame, fraction: float, seed: int, sample: int, *, id
     }
 
 
-def generated(responses: DataFrame, seeds: DataFrame, heldout: DataFrame, target: int) -> DataFrame:
+def generated(responses: DataFrame, seeds: DataFrame, heldout: DataFrame, target: int | None) -> DataFrame:
     """Candidates (src, ord, operation, solution, key) parsed from responses (key, text): new against seeds, held-out rows and
-    each other, in the order of the responses, at most ``target``."""
+    each other, in the order of the responses, at most ``target`` (None: all)."""
     pairs = responses.select(F.col("key").alias("src"), F.posexplode(T.generated_pairs(F.col("text"))).alias("ord", "p"))
     rows = pairs.select("src", "ord", "p.operation", "p.solution").withColumn("key", evaluator.canonical_key(F.col("operation")))
     new = C.first_per_key(rows.where("key <> ''"), "key", "src", "ord")
     new = C.without_keys(C.without_keys(new, seeds, "key"), heldout, "key")
-    return new.orderBy("src", "ord").limit(target)
+    return new if target is None else new.orderBy("src", "ord").limit(target)
 
 
-def generate_and_validate(pool: DataFrame, heldout: DataFrame, responses: DataFrame, verdicts: DataFrame, target: int) -> dict[str, DataFrame]:
+def generate_and_validate(pool: DataFrame, heldout: DataFrame, responses: DataFrame, verdicts: DataFrame, target: int | None) -> dict[str, DataFrame]:
     """The pool (operation, solution, key) after one round, with the audit of all candidates.
 
     ``verdicts`` are judge responses (operation, text); operations without one are discarded unless the evaluator decides.
@@ -79,7 +79,7 @@ def generation_round(spark: SparkSession, sf: str) -> DataFrame:
     text = F.concat(F.lit("<example><operation>"), "operation", F.lit("</operation><solution>"), F.coalesce("solution", F.lit("")), F.lit("</solution></example>"))
     responses = v.select(F.col("example_id").alias("key"), text.alias("text"))
     verdicts = v.groupBy("operation").agg(F.max("confidence").alias("c")).select("operation", F.concat(F.lit("<verdict>keep</verdict><confidence>"), F.coalesce("c", F.lit("low")), F.lit("</confidence>")).alias("text"))
-    out = generate_and_validate(pool, held, responses, verdicts, 10_000_000)
+    out = generate_and_validate(pool, held, responses, verdicts, None)
     return out["audit"].groupBy("stage").agg(F.count("*").alias("n"), F.count_if("kept").alias("kept"))
 
 

@@ -353,3 +353,12 @@ def test_queries(spark, small):
     for name, query in queries.QUERIES.items():
         df = query(spark, small)
         assert df.count() >= 0 and df.columns, name
+
+
+def test_too_many_capacities_are_an_error(spark, tmp_path):
+    from quillstone.llm import queries
+
+    spark.createDataFrame([(1, "one two")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(1, queries.MAX_CAPACITIES + 2).withColumnRenamed("id", "capacity").write.parquet(f"{tmp_path}/pack_capacity.parquet")
+    with pytest.raises(ValueError):
+        queries.p8_packed(spark, str(tmp_path))

@@ -370,3 +370,13 @@ def test_init_run(spark):
     parts = pipelines.init_run(df, 0.1, 3, 5, id_col="id", key="key")
     C.assert_disjoint(parts["train"], parts["heldout"], "key")
     assert parts["heldout"].count() == 10 and parts["train_sample"].count() == 5 and parts["heldout_sample"].count() == 5
+
+
+def test_generation_without_target_keeps_every_candidate(spark):
+    from quillstone.plans.pipelines import generated
+
+    text = "<example><operation>{0}+1</operation><solution>{0}</solution></example>"
+    replies = spark.createDataFrame([(i, text.format(i)) for i in range(20)], "key long, text string")
+    none = spark.createDataFrame([], "key string")
+    assert generated(replies, none, none, None).count() == 20
+    assert generated(replies, none, none, 5).count() == 5
