@@ -49,8 +49,49 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh folder below the shared folder, deleted when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    fs, p = file_system(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
+
+
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """The Hadoop file system of a path, and the path as its object."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file of the shared folder; None if there is none."""
+    fs, p = file_system(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replace a small file as a whole: it is written beside and moved, so that a reader never sees a part."""
+    fs, p = file_system(spark, path)
+    beside = file_system(spark, f"{path}.{uuid.uuid4().hex[:8]}")[1]
+    fs.mkdirs(p.getParent())
+    stream = fs.create(beside, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    if not fs.rename(beside, p):
+        fs.delete(p, False)
+        fs.rename(beside, p)
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names below a folder in order; none if there is no such folder."""
+    fs, p = file_system(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
 def cut(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
@@ -84,6 +125,5 @@ def ship(spark: SparkSession) -> SparkSession:
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch path; a path that is gone already is no error."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = file_system(spark, path)
+    fs.delete(p, True)
