@@ -19,7 +19,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.functions.spelling import with_spelling
+from quillstone.llm.spelling import with_spelling
 from quillstone.operators.skew import join_to_groups
 from quillstone.session import cut
 

@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.functions.opkey import operation_key
+from quillstone.llm.opkey import operation_key
 from quillstone.operators.skew import join_to_groups
 from quillstone.session import cut, remove, scratch
 

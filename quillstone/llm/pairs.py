@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from quillstone.functions.opkey import FUNCTIONS, operation_keys, tokens
+from quillstone.llm.opkey import FUNCTIONS, operation_keys, tokens
 from quillstone.operators.skew import join_to_groups
 from quillstone.session import cut
 

@@ -122,7 +122,7 @@ def test_lowest_is_exact(spark):
 
 
 def test_incremental_against_brute_force(spark):
-    from quillstone.functions.opkey import operation_keys
+    from quillstone.llm.opkey import operation_keys
 
     rng = random.Random(9)
     forms = [lambda a, b: f"{a}+{b}", lambda a, b: f"{b} + {a}", lambda a, b: f"What is ({a}.0+{b})?", lambda a, b: f"{a}-{b}", lambda a, b: f"gcd({a},{b})", lambda a, b: f"GCD({b};{a})"]
