@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from quillstone.llm.spelling import _DROPPED, _FROM, _TO
 
@@ -170,20 +170,42 @@ def operation_keys(text: object) -> tuple[str | None, str | None]:
     return ("o" + tree if tree is not None else None), flat
 
 
-def _digest(key: str | None) -> str | None:
-    return None if key is None else hashlib.md5(key.encode("utf-8", "surrogatepass")).hexdigest()
+#: Characters of a sort key that carry its order; a digest behind them tells longer ones apart.
+HEAD = 32
+SHINGLE = 5
+_WORD = re.compile(r"[^\W_]+")
 
 
-_KEYS = StructType([StructField("tree", StringType()), StructField("text", StringType())])
+def _sorted_as(kind: str, text: str) -> str:
+    raw = text.encode("utf-8", "surrogatepass")
+    return f"{kind}{text[:HEAD].encode('utf-8', 'replace').decode()}|{hashlib.md5(raw).hexdigest()}"
+
+
+def record_keys(text: object) -> tuple[list[str], list[int] | None]:
+    """(sort keys, shingles) of a text: ordered by tree and by spelling; without an operation forwards and backwards.
+
+    Shingles are hashes of five words each, only for texts that are no operation and have at least five words.
+    """
+    tree, flat = operation_keys(text)
+    if flat is None:
+        return [], None
+    if not flat.startswith("w"):
+        return [_sorted_as(k[0], k[1:]) for k in (tree, flat) if k is not None], None
+    words = [w for w in _WORD.findall(unicodedata.normalize("NFKC", _INVISIBLE.sub("", text)).lower())]
+    grams = {" ".join(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
+    hashes = [int.from_bytes(hashlib.blake2b(g.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) for g in grams]
+    return [_sorted_as("v", flat[:0:-1]), _sorted_as("w", flat[1:])], sorted(hashes) or None
+
+
+_KEYS = StructType([StructField("keys", ArrayType(StringType())), StructField("grams", ArrayType(LongType()))])
 
 
 @F.pandas_udf(_KEYS)
 def _keys_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        keys = [operation_keys(t) for t in batch]
-        yield pd.DataFrame({"tree": [_digest(a) for a, _ in keys], "text": [_digest(b) for _, b in keys]})
+        yield pd.DataFrame([record_keys(t) for t in batch], columns=["keys", "grams"])
 
 
-def operation_key(c: Column) -> Column:
-    """struct(tree, text): 128-bit digests of the two keys of an operation."""
+def sort_keys(c: Column) -> Column:
+    """struct(keys, grams): the sort keys of a text, which agree only if they stand for the same, and its shingles."""
     return _keys_udf.asNondeterministic()(c.cast("string"))

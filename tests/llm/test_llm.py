@@ -141,7 +141,7 @@ def test_incremental_against_brute_force(spark):
         if k in first and i >= 150:
             want.add((first[k], i))
         first.setdefault(k, i)
-    got = incremental.repeats_of_history(history, batches, "example_id", "operation", "batch_no", max_runs=3)
+    got = incremental.repeats_of_history(history, batches, "example_id", "operation", "batch_no", fan=3, range_rows=50)
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
 
 
@@ -154,6 +154,57 @@ def test_incremental_with_empty_sides(spark):
     assert run(none, some) == [(1, 2)]
 
 
+def test_store_is_continued_by_a_later_session(spark, tmp_path):
+    rows = [(i, f"{i % 50}+{i % 7 + 1}") for i in range(300)]
+    df = spark.createDataFrame(rows, "example_id long, operation string")
+    path = f"file://{tmp_path}/store"
+    keyed = lambda a, b: incremental.keyed_rows(df.where(f"example_id >= {a} and example_id < {b}"), "example_id", "operation")
+    incremental.AcceptedRuns(spark, path, fan=2, range_rows=20).merge(keyed(0, 100))
+    got = set()
+    for a in (100, 150, 200, 250):
+        store = incremental.AcceptedRuns(spark, path, fan=2, range_rows=20)
+        assert store.runs and store.splits
+        got |= {(r["first_id"], r["id"]) for r in store.check(keyed(a, a + 50)).collect()}
+        store.vacuum()
+    first, want = {}, set()
+    for i, o in rows:
+        k = tuple(sorted(map(int, o.split("+"))))
+        if k in first and i >= 100:
+            want.add((first[k], i))
+        first.setdefault(k, i)
+    assert got == want
+    assert len(incremental.AcceptedRuns(spark, path).runs) <= 4
+
+
+def test_only_touched_ranges_and_blocks_are_read(spark):
+    old = spark.createDataFrame([(i, f"{i}+1") for i in range(1000, 3000)], "id long, t string")
+    store = incremental.AcceptedRuns(spark, range_rows=100)
+    store.merge(incremental.keyed_rows(old, "id", "t"))
+    assert len(store.splits) > 10
+    new = incremental.keyed_rows(spark.createDataFrame([(5000, "1 + 2500.0")], "id long, t string"), "id", "t")
+    assert [tuple(r) for r in store.check(new).collect()] == [(5000, 2500)]
+    at = {r["r"] for r in new.select(F.explode("keys").alias("key")).select(store._range(F.col("key")).alias("r")).collect()}
+    assert len(at) <= 2
+    keys = [r["key"] for r in store.read(["000000"]).select("key").collect()]
+    by_range = {r["key"]: r["r"] for r in store.read(["000000"]).select("key", "r").collect()}
+    in_order = [by_range[k] for k in sorted(keys, key=str.encode)]
+    assert in_order == sorted(in_order)
+
+
+def test_near_duplicates_of_texts(spark):
+    base = "please work through the whole of this exercise and write down every single step of the way to the end"
+    rows = [(1, base), (2, base + " now"), (3, "well " + base), (4, "an entirely different text about something that nobody ever asked for at all"), (5, base.upper() + "!")]
+    df = spark.createDataFrame([(*r, r[0]) for r in rows], "example_id long, operation string, batch_no int")
+    got = incremental.repeats_of_history(df.where("example_id = 1"), df.where("example_id > 1"), "example_id", "operation", "batch_no")
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 2), (1, 3), (1, 5)]
+
+
+def test_batches_named_by_text(spark):
+    df = spark.createDataFrame([(1, "1+1", "b"), (2, "1 + 1", "a"), (3, "2+2", "10"), (4, "2+2", None)], "example_id long, operation string, batch_no string")
+    got = incremental.repeats_of_history(df.limit(0), df, "example_id", "operation", "batch_no")
+    assert sorted(tuple(r) for r in got.collect()) == [(3, 4)]
+
+
 # --- 6: broken pairs -------------------------------------------------------------------------------------------------
 
 PAIRS = [
