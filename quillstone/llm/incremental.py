@@ -42,6 +42,8 @@ MAX_RANGES = 20_000
 SAMPLED = 50
 #: Characters that the keys of one block share.
 BLOCK = 16
+#: Batches of at most so many keys have their blocks broadcast, some 10 MB; those of larger ones are shuffled.
+BROADCAST_KEYS = 200_000
 WINDOW, SIMILARITY = 3, 0.8
 
 
@@ -120,18 +122,20 @@ class AcceptedRuns:
             new = cut(new, "first-keys")
             self._cut_ranges(new, new.count())
         # the sorted batch, a folder a range
-        batch = scratch(self.spark, "batch")
-        new.select("key", F.col("id").alias("first_id"), "n", "grams", self._range(F.col("key")).alias("r")).write.mode(
-            "overwrite"
-        ).partitionBy("r").parquet(batch)
+        batch, seen = scratch(self.spark, "batch"), Observation()
+        new = new.select("key", F.col("id").alias("first_id"), "n", "grams", self._range(F.col("key")).alias("r"))
+        new.observe(seen, F.count("*").alias("keys")).write.mode("overwrite").partitionBy("r").parquet(batch)
         new = self.spark.read.schema("key string, first_id long, n long, grams array<long>, r int").parquet(batch)
         rows = new.withColumn("mine", F.lit(True))
         if any(self.runs.values()):
             # ranges without a new key are not read
             touched = [int(r.removeprefix("r=")) for r in list_names(self.spark, batch) if r.startswith("r=")]
             block = F.substring("key", 1, BLOCK).alias("block")
+            blocks = new.select(block).distinct()
+            if seen.get["keys"] <= BROADCAST_KEYS:
+                blocks = F.broadcast(blocks)
             old = self.read(list(self.runs), touched).where("fresh").withColumns({"block": block, "n": F.lit(0).cast("long"), "mine": F.lit(False)})
-            near = old.join(new.select(block).distinct(), "block", "left_semi")
+            near = old.join(blocks, "block", "left_semi")
             rows = rows.unionByName(near.select(*rows.columns))
         run = self._add(self._compared(rows, b))
         remove(self.spark, batch)
