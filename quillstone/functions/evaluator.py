@@ -1,7 +1,7 @@
 """Bounded arithmetic: values of operations and their syntactic keys, as Arrow UDFs.
 
-All values are doubles, as the task demands. Cost is bounded inside the functions: texts above ``MAX_TEXT`` characters are
-not evaluated and arguments have caps. Whatever cannot be evaluated is null.
+All values are doubles, as the task demands. Cost is bounded inside the functions, whose arguments have caps; only
+``programmatic_solution`` has one for the length of the text too. Whatever cannot be evaluated is null.
 """
 
 import ast
@@ -184,26 +184,27 @@ _BINARY = {
 
 
 def _postfix_factorials(text: str) -> str:
-    """``n!`` and ``(...)!``, also behind a call, as calls of factorial; ``!=`` stays as it is."""
+    """``n!`` and ``(...)!``, also behind a call, as calls of factorial; any other operand of ``!`` is rejected."""
     out = text
-    while True:
-        m = re.search(r"!(?!=)", out)
-        if not m:
-            return out
-        end = len(out[: m.start()].rstrip())
-        start = end
-        if end and out[end - 1] == ")":
-            depth = 0
+    while (at := out.find("!")) >= 0:
+        head = out[:at].rstrip()
+        _need(bool(head) and not out.startswith("!=", at))
+        if head.endswith(")"):
+            depth, start = 0, len(head)
             while start:
                 start -= 1
-                depth += (out[start] == ")") - (out[start] == "(")
+                depth += (head[start] == ")") - (head[start] == "(")
                 if not depth:
                     break
             _need(not depth)
-        while start and (out[start - 1].isalnum() or out[start - 1] in "_."):
-            start -= 1
-        _need(start < end)
-        out = f"{out[:start]}factorial({out[start:end]}){out[m.end():]}"
+            name = re.search(r"\w+\s*$", head[:start])
+            start = name.start() if name else start
+        else:
+            digits = re.search(r"\d+$", head)
+            _need(digits is not None)
+            start = digits.start()
+        out = f"{head[:start]}factorial({head[start:]}){out[at + 1:]}"
+    return out
 
 
 def _value(node: ast.AST) -> float:
@@ -222,8 +223,8 @@ def _value(node: ast.AST) -> float:
 
 
 def evaluate(text: object) -> float | None:
-    """The value of an operation; None if it is too long, malformed, out of bounds or not finite."""
-    if not isinstance(text, str) or not text.strip() or len(text.strip()) > MAX_TEXT:
+    """The value of an operation of any length; None if it is malformed, out of bounds or not finite."""
+    if not isinstance(text, str) or not text.strip():
         return None
     try:
         v = _value(ast.parse(_postfix_factorials(text.strip().replace("^", "**")), mode="eval").body)
@@ -233,8 +234,9 @@ def evaluate(text: object) -> float | None:
 
 
 def solution_text(text: object) -> str | None:
-    """The value as canonical text: integer digits if nearly whole, else twelve significant digits."""
-    v = evaluate(text)
+    """The value as canonical text: integer digits if nearly whole, else twelve significant digits; texts above
+    ``MAX_TEXT`` characters have none."""
+    v = evaluate(text) if isinstance(text, str) and len(text) <= MAX_TEXT else None
     if v is None:
         return None
     if abs(v - round(v)) <= 1e-9 and abs(v) <= 2**53:

@@ -17,6 +17,25 @@ WHOLE_FLOAT = r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$"
 EXACT_INT = float(2**53)
 TOLERANCE = 1e-9
 HIGH_CONFIDENCE = 0.8
+AROUND = "*`\"'"
+OPERATION_PROMPT = "What is the result of %s? Give only the result."
+VERDICT = r"(?i)<verdict>\s*(keep|discard)\s*</verdict>"
+CONFIDENCE = r"(?i)<confidence>\s*(high|medium|low|[0-9]+(?:\.[0-9]+)?)\s*</confidence>"
+FIXED_SOLUTION = r"(?i)<solution>\s*([^\s<]+)\s*</solution>"
+SCORE = r"(?i)<score>\s*([01](?:\.[0-9]+)?|0?\.[0-9]+)\s*</score>"
+SCORE_WORDS = {"yes": 1.0, "correct": 1.0, "true": 1.0, "no": 0.0, "incorrect": 0.0, "false": 0.0}
+EXAMPLE = r"(?is)<example>\s*operation:\s*(.+?)\s*solution:\s*(.+?)\s*</example>"
+LINE_PAIR = (
+    r"^\s*(?:[-*]|[0-9]+[.)])?\s*(.+?)\s*(?:=|,|->|=>)\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\s*$"
+)
+LINE_HEADERS = ("operation", "expression", "expr")
+
+_SPACE = r"[\s\p{Z}\x{1C}-\x{1F}\x{85}]"
+
+
+def strip(c: Column) -> Column:
+    """The text without white space around it, of any script."""
+    return F.regexp_replace(c, rf"^{_SPACE}+|{_SPACE}+$", "")
 
 
 def double(c: Column, pattern: str = WHOLE_FLOAT) -> Column:
@@ -32,36 +51,43 @@ def escape_newlines(c: Column) -> Column:
 
 
 def unescape_newlines(c: Column) -> Column:
-    return F.replace(c, F.lit("\\n"), F.lit("\n"))
+    return F.replace(F.replace(c, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
 
 
 def is_number_only(c: Column) -> Column:
     """Whole text a plain finite number, without exponent."""
-    return F.coalesce(F.trim(c).rlike(NUMBER_ONLY), F.lit(False))
+    return F.coalesce(strip(c).rlike(NUMBER_ONLY), F.lit(False))
 
 
 def is_completed(c: Column) -> Column:
     """Something but blanks is left after unescaping line breaks."""
-    return F.coalesce(F.length(F.regexp_replace(unescape_newlines(c), r"[ \t\r\n]", "")) > 0, F.lit(False))
+    return F.coalesce(F.length(strip(unescape_newlines(c))) > 0, F.lit(False))
 
 
 def last_number(c: Column, pattern: str = NUMBER_IN_TEXT) -> Column:
     return F.try_element_at(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.lit(-1))
 
 
+def _unmarked(c: Column) -> Column:
+    """Without markup and quotes around the whole; those inside stay."""
+    return strip(F.regexp_replace(strip(c), rf"^[{AROUND}]+|[{AROUND}]+$", ""))
+
+
 def to_number_only(c: Column) -> Column:
-    """A bare number as it is; else the bare number within quotes and markup; else the last number of the text."""
-    bare = F.trim(c)
-    inner = F.regexp_replace(bare, "[*`\"' ]", "")
-    return F.when(bare.rlike(NUMBER_ONLY), bare).when(inner.rlike(NUMBER_ONLY), inner).otherwise(last_number(c))
+    """Canonical text of a bare number, also within markup or quotes; else of the last number of the text; else null."""
+    bare = strip(unescape_newlines(c))
+    inner = _unmarked(bare)
+    found = F.when(bare.rlike(NUMBER_ONLY), bare).when(inner.rlike(NUMBER_ONLY), inner).otherwise(last_number(bare))
+    return canonical_number(found)
 
 
 def numeric_answer(c: Column) -> Column:
-    """The value of an answer: the whole text as number (one trailing dot allowed), else its last number."""
-    bare = F.trim(unescape_newlines(c))
+    """The value of an answer: the whole text as number (markup around it and one trailing dot allowed), else its last number."""
+    text = strip(unescape_newlines(c))
+    bare = _unmarked(text)
     dots = F.length(bare) - F.length(F.replace(bare, F.lit("."), F.lit("")))
-    body = F.when(bare.endswith(".") & (dots == 1), F.rtrim(bare, F.lit("."))).otherwise(bare)
-    return F.coalesce(double(body), double(last_number(bare, NUMBER_WITH_EXPONENT)))
+    body = F.when(bare.endswith(".") & (dots == 1), strip(F.rtrim(bare, F.lit(".")))).otherwise(bare)
+    return F.coalesce(double(body), double(last_number(text, NUMBER_WITH_EXPONENT)))
 
 
 def whole_text(v: Column) -> Column:
@@ -71,14 +97,14 @@ def whole_text(v: Column) -> Column:
 
 def canonical_number(c: Column) -> Column:
     """Exactly whole numbers as integer text, else the text without a leading plus."""
-    v = double(F.trim(c))
-    plain = F.regexp_replace(F.trim(c), r"^\++", "")
+    v = double(strip(c))
+    plain = F.regexp_replace(strip(c), r"^\++", "")
     return F.when((v == F.floor(v)) & (F.abs(v) <= EXACT_INT), whole_text(v)).otherwise(plain)
 
 
 def canonical_solution(c: Column) -> Column:
     """Nearly whole numbers up to 2**53 as integer text, else the trimmed text without a leading plus."""
-    plain = F.regexp_replace(F.trim(c), r"^\++", "")
+    plain = F.regexp_replace(strip(c), r"^\++", "")
     v = double(plain)
     near = F.rint(v)
     whole = (F.abs(v - near) <= TOLERANCE) & (F.abs(v) <= EXACT_INT)
@@ -98,37 +124,40 @@ def numbers_equal(a: Column, b: Column) -> Column:
 def solutions_match(a: Column, b: Column) -> Column:
     """Equal as numbers; texts without a number must be equal."""
     x, y = numeric_answer(a), numeric_answer(b)
-    return F.when(x.isNull() | y.isNull(), F.trim(a) == F.trim(b)).otherwise(numbers_equal(x, y))
+    return F.when(x.isNull() | y.isNull(), strip(a) == strip(b)).otherwise(numbers_equal(x, y))
 
 
-def tagged(c: Column, tag: str) -> Column:
-    """Text inside the first pair of tags, '' if there is none."""
-    return F.trim(F.regexp_extract(c, rf"(?is)<{tag}>\s*(.*?)\s*</{tag}>", 1))
+def _found(c: Column, pattern: str, group: int = 1) -> Column:
+    """The group of the first match, null if there is none."""
+    x = F.regexp_extract(c, pattern, group)
+    return F.when(F.length(x) > 0, x)
 
 
-def verdict(c: Column) -> Column:
-    """struct(keep, confidence, solution): defaults are discard, low and null."""
-    word = F.lower(F.regexp_extract(c, r"(?i)<verdict>\s*(keep|discard)\s*</verdict>", 1))
-    conf = F.lower(tagged(c, "confidence"))
-    sol = tagged(c, "solution")
+def verdict(c: Column, fallback: Column | None = None) -> Column:
+    """struct(keep, confidence, solution): defaults are discard, low and the fallback, if that is not empty."""
+    sol = canonical_solution(_found(c, FIXED_SOLUTION))
+    if fallback is not None:
+        sol = F.coalesce(sol, F.nullif(fallback, F.lit("")))
     return F.struct(
-        F.coalesce(word == "keep", F.lit(False)).alias("keep"),
-        F.when(F.length(conf) > 0, conf).otherwise("low").alias("confidence"),
-        F.when(F.length(sol) > 0, sol).alias("solution"),
+        F.coalesce(F.lower(_found(c, VERDICT)) == "keep", F.lit(False)).alias("keep"),
+        F.coalesce(F.lower(_found(c, CONFIDENCE)), F.lit("low")).alias("confidence"),
+        sol.alias("solution"),
     )
 
 
 def confidence_is_high(c: Column) -> Column:
-    s = F.lower(F.trim(c))
+    s = F.lower(strip(c))
     return F.coalesce((s == "high") | (double(s) >= HIGH_CONFIDENCE), F.lit(False))
 
 
 def judge_score(c: Column) -> Column:
-    """Tagged score clamped to [0, 1]; else 1 or 0 by the last yes or no; else 0."""
-    tag = F.regexp_extract(c, r"(?i)<score>\s*([01](?:\.[0-9]+)?|\.[0-9]+)\s*</score>", 1)
-    word = F.lower(last_number(c, r"(?i)\b(?:yes|no)\b"))
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), double(tag)))
-    return F.when(F.length(tag) > 0, score).when(word == "yes", 1.0).otherwise(F.lit(0.0))
+    """Tagged score, at most 1; else what the last word for right or wrong says; else 0."""
+    tag = double(_found(c, SCORE))
+    score = F.when(tag.isNotNull(), F.least(F.lit(1.0), tag))
+    words = F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    last = F.try_element_at(F.filter(words, lambda w: w.isin(*SCORE_WORDS)), F.lit(-1))
+    good = last.isin(*[w for w, v in SCORE_WORDS.items() if v])
+    return F.coalesce(score, F.when(good, 1.0), F.lit(0.0))
 
 
 def judge_reward(score: Column, well_formed: Column, coefficient: float = 0.1) -> Column:
@@ -148,14 +177,34 @@ def commutative_pair_key(left: Column, op: str, right: Column) -> Column:
 
 
 def operation_prompt(operation: Column) -> Column:
-    return F.format_string("Work out this operation and reply with the number alone: %s", operation)
+    return F.format_string(OPERATION_PROMPT, operation)
+
+
+def judge_prompt(operation: Column, answer: Column) -> Column:
+    """The question put to a judge of an answer; it is given no solution."""
+    # fixed values: the wording of the task
+    head = F.lit(
+        "You are grading a model's answer to an arithmetic problem.\n"
+        "Solve the problem yourself, then decide whether the model's answer is correct.\n"
+        "You are not given a reference answer — verify the result independently.\n"
+        "Ignore minor formatting differences (whitespace, trailing zeros, signs like +42).\n"
+        "If the model output contains reasoning, grade only the final numeric result.\n"
+    )
+    tail = F.lit(
+        "\nRespond with <score>1</score> if the answer is correct, or <score>0</score> if incorrect.\n"
+        "Do not wrap any other text inside the score tags."
+    )
+    asked = F.concat(F.lit("Problem prompt: "), operation_prompt(operation))
+    return F.concat_ws("\n", head, asked, F.concat(F.lit("Expression: "), operation), F.concat(F.lit("Model answer: "), answer), tail)
 
 
-def age_label(seconds: Column) -> Column:
-    """How long ago, in the largest fitting unit."""
-    s = F.greatest(seconds, F.lit(0))
+def age_label(at: Column, now: Column) -> Column:
+    """How long before ``now``, in the largest fitting unit below a day; then the time itself. Null times give ''."""
+    gone = F.rint(now.cast("double") - at.cast("double"))
+    s = F.when(gone < 0, 0.0).otherwise(gone)
     unit = lambda n, u: F.concat(F.floor(s / n).cast("string"), F.lit(u))
-    return F.when(s < 60, unit(1, "s ago")).when(s < 3600, unit(60, "m ago")).when(s < 86400, unit(3600, "h ago")).otherwise(unit(86400, "d ago"))
+    ago = F.when(s < 60, unit(1, "s ago")).when(s < 3600, unit(60, "m ago")).when(s < 86400, unit(3600, "h ago"))
+    return F.coalesce(ago, F.date_format(at, "yyyy-MM-dd HH:mm:ss'Z'"), F.lit(""))
 
 
 def band(value: Column, half: Column) -> Column:
@@ -166,24 +215,24 @@ def band(value: Column, half: Column) -> Column:
 
 # --- one text, many rows -------------------------------------------------------------------------------------------
 
-_LINE = r"(?m)^\s*(?:[-*•]\s*|[0-9]+[.)]\s+)?([^=\n,]+?)\s*(?:=|,|->|→)\s*([^\s,=][^\n]*?)\s*$"
-_HEADERS = ("operation", "expression", "expr", "problem", "question")
-
-
 def line_pairs(c: Column) -> Column:
-    """array<struct(operation, solution)> from lines like ``- 1+2 = 3``; header lines are skipped."""
-    ops = F.regexp_extract_all(c, F.lit(_LINE), F.lit(1))
-    sols = F.regexp_extract_all(c, F.lit(_LINE), F.lit(2))
-    pairs = F.arrays_zip(ops.alias("operation"), sols.alias("solution"))
-    pairs = F.transform(pairs, lambda p: F.struct(F.trim(p["operation"]).alias("operation"), F.trim(p["solution"]).alias("solution")))
-    return F.filter(pairs, lambda p: ~F.lower(p["operation"]).isin(*_HEADERS))
+    """array<struct(operation, solution)> from lines like ``- 1+2 = 3`` that end with a number; header lines are skipped."""
+    lines = F.split(c, r"\R|[\x{1C}-\x{1E}]")
+    pairs = F.transform(
+        lines,
+        lambda t: F.struct(
+            strip(F.regexp_extract(t, LINE_PAIR, 1)).alias("operation"), canonical_solution(F.regexp_extract(t, LINE_PAIR, 2)).alias("solution")
+        ),
+    )
+    return F.filter(pairs, lambda p: (p["solution"] != "") & ~F.lower(p["operation"]).isin(*LINE_HEADERS))
 
 
 def tag_pairs(c: Column) -> Column:
-    """array<struct(operation, solution)> from ``<example>`` blocks; pairs with a blank side are left out."""
-    blocks = F.regexp_extract_all(c, F.lit(r"(?is)<example>(.*?)</example>"), F.lit(1))
+    """array<struct(operation, solution)> from ``<example>operation: … solution: …</example>`` blocks."""
+    part = lambda k: F.regexp_extract_all(c, F.lit(EXAMPLE), F.lit(k))
+    pairs = F.arrays_zip(part(1).alias("operation"), part(2).alias("solution"))
     pairs = F.transform(
-        blocks, lambda b: F.struct(tagged(b, "operation").alias("operation"), tagged(b, "solution").alias("solution"))
+        pairs, lambda p: F.struct(strip(p["operation"]).alias("operation"), canonical_solution(p["solution"]).alias("solution"))
     )
     return F.filter(pairs, lambda p: (F.length(p["operation"]) > 0) & (F.length(p["solution"]) > 0))
 
@@ -207,15 +256,15 @@ def json_pairs(c: Column) -> Column:
     pairs = F.transform(
         items,
         lambda v: F.struct(
-            F.trim(F.coalesce(truthy(v, "operation"), truthy(v, "expr"))).alias("operation"),
-            F.trim(F.coalesce(truthy(v, "solution"), truthy(v, "answer"))).alias("solution"),
+            strip(F.coalesce(truthy(v, "operation"), truthy(v, "expr"))).alias("operation"),
+            canonical_solution(F.coalesce(truthy(v, "solution"), truthy(v, "answer"))).alias("solution"),
         ),
     )
     return F.filter(pairs, lambda p: (F.length(p["operation"]) > 0) & (F.length(p["solution"]) > 0))
 
 
 def generated_pairs(c: Column) -> Column:
-    """First strategy that applies: JSON array, example tags (also if all are blank), lines."""
+    """First strategy that applies: JSON array, example blocks, lines."""
     some = lambda x: F.coalesce(F.size(x) > 0, F.lit(False))
-    has_tags = c.rlike(r"(?is)<example>.*?</example>")
-    return F.when(some(json_pairs(c)), json_pairs(c)).when(has_tags, tag_pairs(c)).otherwise(line_pairs(c))
+    c = strip(c)
+    return F.when(some(json_pairs(c)), json_pairs(c)).when(c.rlike(EXAMPLE), tag_pairs(c)).otherwise(line_pairs(c))

@@ -78,14 +78,14 @@ def required_n(p: Column, half: Column, z: float) -> Column:
 
 
 def noise_band(pairs: Sequence[tuple[Column, Column]], z: float) -> Column:
-    """z times the root of the summed variances of (correct, total) pairs; missing pairs add nothing."""
+    """z times the root of the summed variances of (correct, total) pairs; 0 if any of them is missing."""
     if z <= 0:
         return F.lit(0.0)
     var = F.lit(0.0)
     for c, n in pairs:
         p = c / F.nullif(n, F.lit(0))
-        var = var + F.coalesce(F.when(n > 0, p * (1 - p) / n), F.lit(0.0))
-    return F.lit(z) * F.sqrt(var)
+        var = var + F.when(n > 0, p * (1 - p) / n)
+    return F.coalesce(F.lit(z) * F.sqrt(var), F.lit(0.0))
 
 
 @dataclass(frozen=True)

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # fixed values: marks of imported and interim records
-IMPORTED_KINDS = ("imported", "baseline_import", "legacy", "external")
-IMPORTED_SOURCES = ("import", "external")
-INTERIM_ROLES = ("interim", "pending", "provisional")
+IMPORTED_KINDS = ("imported", "imported_checkpoint", "parent_import", "parent_checkpoint")
+IMPORTED_SOURCES = ("parent_train_promoted", "imported_checkpoint")
+INTERIM_ROLES = ("post_interim", "interim", "ci_refine_pending")
 
 
 def path(record: Column, *names: str) -> Column:
@@ -48,6 +48,74 @@ def is_interim(pending: Column, role: Column, note: Column) -> Column:
     )
 
 
+NUMERIC = r"^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)"
+
+
+def member(v: Column, *paths: str) -> Column:
+    """The first member of a variant at ``paths`` that says something: no null, zero, false, empty text, object or array."""
+
+    def telling(p: str) -> Column:
+        x = F.try_variant_get(v, f"$.{p}", "variant")
+        k = F.schema_of_variant(x)
+        none = (k == "VOID") | ((k == "BOOLEAN") & ~F.try_variant_get(x, "$", "boolean")) | (k.rlike(NUMERIC) & (F.try_variant_get(x, "$", "double") == 0))
+        none = none | F.to_json(x).isin('""', "{}", "[]")
+        return F.when(~F.coalesce(none, F.lit(True)), x)
+
+    return F.coalesce(*[telling(p) for p in paths])
+
+
+def eval_accuracy(x: Column) -> Column:
+    """Accuracy of an evaluation given as number, {instant: {accuracy}}, {accuracy} or {instant_accuracy}."""
+    k, get = F.schema_of_variant(x), lambda p: F.try_variant_get(x, f"$.{p}", "double")
+    inner = F.coalesce(F.schema_of_variant(F.try_variant_get(x, "$.instant", "variant")).startswith("OBJECT"), F.lit(False))
+    of_object = F.when(inner, get("instant.accuracy")).otherwise(F.coalesce(get("accuracy"), get("instant_accuracy")))
+    return F.when(k.rlike(NUMERIC), F.try_variant_get(x, "$", "double")).when(k.startswith("OBJECT"), of_object)
+
+
+def eval_counts(x: Column) -> Column:
+    """struct(c, n): correct and total of an evaluation, null if they are not recorded as numbers or the total is not positive."""
+    inner = F.coalesce(F.schema_of_variant(F.try_variant_get(x, "$.instant", "variant")).startswith("OBJECT"), F.lit(False))
+    x = F.when(inner, F.try_variant_get(x, "$.instant", "variant")).otherwise(x)
+    count = lambda p: F.when(
+        F.schema_of_variant(F.try_variant_get(x, f"$.{p}", "variant")).rlike(NUMERIC), F.floor(F.try_variant_get(x, f"$.{p}", "double"))
+    )
+    c, n = count("correct"), count("total")
+    return F.when(c.isNotNull() & (n > 0), F.struct(c.alias("c"), n.alias("n")))
+
+
+#: Members that hold the evaluations of a record, held-out pair first.
+PAIRS = (
+    (("pre_heldout", "heldout.pre"), ("post_heldout", "heldout.post")),
+    (("pre_train", "pre", "pre_eval", "train_seed.pre"), ("post_train", "post", "post_eval", "train_seed.post")),
+)
+
+
+def with_marginal(df: DataFrame, record: str, by: Sequence[str], order: Sequence[str], min_delta: float, z: float) -> DataFrame:
+    """Adds gain, band and marginal to records (JSON texts of objects) in their order.
+
+    The gain of a record is that of its first complete pair of evaluations, held-out before training; without one it is
+    its post evaluation over that of the record before. It is marginal if it stays below the least gain and the noise.
+    """
+    from quillstone.operators.evals import noise_band
+
+    side = lambda x: F.struct(eval_accuracy(x).alias("acc"), eval_counts(x).alias("k"))
+    v = F.try_parse_json(F.col(record))
+    df = df.withColumns({f"_{s}{i}": side(member(v, *paths)) for i, pair in enumerate(PAIRS) for s, paths in zip("ab", pair, strict=True)})
+    df = df.withColumn("_own", side(F.coalesce(member(v, "post", "post_eval"), v)))
+    whole = [F.col(f"_a{i}.acc").isNotNull() & F.col(f"_b{i}.acc").isNotNull() for i in range(len(PAIRS))]
+    pick = lambda s: F.coalesce(*[F.when(ok, F.col(f"_{s}{i}")) for i, ok in enumerate(whole)])
+    df = df.withColumns({"_pre": pick("a"), "_post": pick("b")})
+    w = Window.partitionBy(*by).orderBy(*order)
+    df = df.withColumn("_before", F.lag(F.coalesce("_post", "_own")).over(w))
+    a = F.when(F.col("_pre").isNotNull(), F.col("_pre")).otherwise(F.col("_before"))
+    b = F.coalesce("_post", "_own")
+    df = df.withColumns({"_a": a, "_b": b}).withColumn("gain", F.col("_b.acc") - F.col("_a.acc"))
+    band = noise_band([(F.col("_a.k.c"), F.col("_a.k.n")), (F.col("_b.k.c"), F.col("_b.k.n"))], z)
+    df = df.withColumn("band", F.when(F.col("gain").isNotNull(), band).otherwise(F.lit(0.0)))
+    df = df.withColumn("marginal", F.coalesce(F.col("gain") < F.greatest(F.lit(min_delta), F.col("band")), F.lit(False)))
+    return df.drop(*[c for c in df.columns if c.startswith("_")])
+
+
 def generation(explicit: Column, imported: Column, iteration: Column, any_imported: Column) -> Column:
     """The explicit generation, else 1 for imported records, else iteration plus 2 or 1; 1 where nothing can be read."""
     after = iteration + F.when(any_imported, 2).otherwise(1)

@@ -51,8 +51,13 @@ def held_out_size(rows: int, fraction: float) -> int:
     return min(max(round(rows * fraction), 1), rows - 1)
 
 
-def split(df: DataFrame, fraction: float, seed: str | int, *keys: str) -> DataFrame:
-    """Adds ``split``: exactly ``held_out_size`` rows are 'heldout', the others 'train'."""
+def split(df: DataFrame, fraction: float, seed: str | int, *keys: str, optional: bool = False) -> DataFrame:
+    """Adds ``split``: exactly ``held_out_size`` rows are 'heldout', the others 'train'.
+
+    An ``optional`` split of no share, or of less than two rows, holds nothing out; it is an error otherwise.
+    """
+    if optional and (fraction == 0 or df.limit(2).count() < 2):
+        return df.withColumn("split", F.lit("train"))
     if not 0 < fraction < 1:
         raise ValueError("the held-out fraction lies between 0 and 1")
     total = df.count()

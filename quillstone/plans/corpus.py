@@ -89,7 +89,7 @@ def train_heldout_split(spark: SparkSession, sf: str) -> DataFrame:
 
 def trainer_split(spark: SparkSession, sf: str) -> DataFrame:
     """The trainer's own split uses another seed namespace."""
-    return S.split(_operations(spark, sf, "train_data").select("example_id"), 0.25, "trainer:3", "example_id")
+    return S.split(_operations(spark, sf, "train_data").select("example_id"), 0.25, "trainer:3", "example_id", optional=True)
 
 
 def split_manifest(spark: SparkSession, sf: str) -> DataFrame:
@@ -153,45 +153,6 @@ def validation_funnel(spark: SparkSession, sf: str) -> DataFrame:
     return out.groupBy("stage").agg(F.count("*").alias("n"), F.count_if("kept").alias("kept"))
 
 
-def verdict_parse(spark: SparkSession, sf: str) -> DataFrame:
-    """Verdicts read from texts built from validated rows."""
-    v = spark.read.parquet(f"{sf}/validated.parquet")
-    text = F.concat(
-        F.lit("Checked.\n<verdict> "), F.when(F.col("example_id") % 3 == 0, "DISCARD").otherwise("keep"), F.lit(" </verdict>\n<confidence>"),
-        F.coalesce("confidence", F.lit("")), F.lit("</confidence> <solution> "), F.coalesce("solution_", F.lit("")), F.lit(" </solution>"),
-    )
-    rows = v.withColumn("solution_", F.col("batch_no").cast("string")).withColumn("v", T.verdict(text))
-    return rows.select("example_id", "v.keep", "v.confidence", "v.solution", T.confidence_is_high(F.col("v.confidence")).alias("high"))
-
-
-def parse_lines(spark: SparkSession, sf: str) -> DataFrame:
-    li = spark.read.parquet(f"{sf}/lineitem.parquet")
-    q, n = F.col("l_quantity").cast("long"), F.col("l_linenumber").cast("long")
-    text = F.concat_ws("\n", F.lit("operation, solution"), F.concat(F.lit("- "), q, F.lit("*"), n, F.lit(" = "), q * n), F.concat(F.lit("2) "), q, F.lit("+"), n, F.lit(" -> "), q + n))
-    pairs = li.select(F.explode(T.generated_pairs(text)).alias("p")).select("p.*")
-    return pairs.groupBy("operation", "solution").agg(F.count("*").alias("n"))
-
-
-def parse_tags(spark: SparkSession, sf: str) -> DataFrame:
-    li = spark.read.parquet(f"{sf}/lineitem.parquet")
-    q, n = F.col("l_quantity").cast("long"), F.col("l_linenumber").cast("long")
-    block = lambda o, s: F.concat(F.lit("<example>\n <operation> "), o, F.lit("</operation><solution>"), s, F.lit(" </solution></example>"))
-    text = F.concat(block(F.concat(q, F.lit("-"), n), (q - n).cast("string")), F.lit(" and "), block(F.lit(""), F.lit("5")))
-    pairs = li.select(F.explode(T.generated_pairs(text)).alias("p")).select("p.*")
-    return pairs.groupBy("operation", "solution").agg(F.count("*").alias("n"))
-
-
-def parse_json_array(spark: SparkSession, sf: str) -> DataFrame:
-    li = spark.read.parquet(f"{sf}/lineitem.parquet")
-    q, n = F.col("l_quantity").cast("long"), F.col("l_linenumber").cast("long")
-    text = F.concat(
-        F.lit('Here: [{"operation": "'), q, F.lit("*"), n, F.lit('", "solution": '), q * n, F.lit('}, 7, {"expr": "'), q, F.lit("-"), q,
-        F.lit('", "solution": 0}, {"expr": "'), q, F.lit("+"), n, F.lit('", "answer": "'), q + n, F.lit('"}] done'),
-    )
-    pairs = li.select(F.explode(T.generated_pairs(text)).alias("p")).select("p.*")
-    return pairs.groupBy("operation", "solution").agg(F.count("*").alias("n"))
-
-
 def data_growth(spark: SparkSession, sf: str) -> DataFrame:
     """Accepted rows by iteration."""
     t = spark.read.parquet(f"{sf}/train_data.parquet")
@@ -215,8 +176,7 @@ QUERIES = {
     for f in (
         corpus_keys, corpus_tree_keys, commutative_pairs, dedup_first_wins, dedup_last_wins, merge_unique, leak_guard_anti, leak_overlap,
         new_key_count, exact_sample, train_heldout_split, trainer_split, split_manifest, batch_ids, seed_batches, replicate_groups,
-        pending_work, ordered_answers, order_mismatches, prefer_solved, target_capped, validation_funnel, verdict_parse, parse_lines,
-        parse_tags, parse_json_array, data_growth,
+        pending_work, ordered_answers, order_mismatches, prefer_solved, target_capped, validation_funnel, data_growth,
     )
 }
 SQL = {
@@ -246,15 +206,5 @@ from arithmetic_run_instant where {_DONE}) where rn = 1) select example_id, coal
     "prefer_solved": "select example_id from math_example where length(trim(solution)) > 0 or not exists (select 1 from math_example where length(trim(solution)) > 0)",
     "target_capped": f"""select min(example_id) as example_id, key from {_V} where key <> '' and key not in (select key from {_T} where key is not null)
 group by key order by 1 limit 400""",
-    "verdict_parse": """select example_id, example_id % 3 <> 0 as keep, coalesce(confidence, 'low') as confidence, cast(batch_no as varchar) as solution,
-coalesce(confidence = 'high', false) as high from validated""",
-    "parse_lines": """with a as (select cast(l_quantity as bigint) as q, cast(l_linenumber as bigint) as n from lineitem)
-select operation, solution, count(*) as n from (select concat(q, '*', n) as operation, cast(q * n as varchar) as solution from a
-union all select concat(q, '+', n), cast(q + n as varchar) from a) group by 1, 2""",
-    "parse_tags": """with a as (select cast(l_quantity as bigint) as q, cast(l_linenumber as bigint) as n from lineitem)
-select concat(q, '-', n) as operation, cast(q - n as varchar) as solution, count(*) as n from a group by 1, 2""",
-    "parse_json_array": """with a as (select cast(l_quantity as bigint) as q, cast(l_linenumber as bigint) as n from lineitem)
-select operation, solution, count(*) as n from (select concat(q, '*', n) as operation, cast(q * n as varchar) as solution from a
-union all select concat(q, '+', n), cast(q + n as varchar) from a) group by 1, 2""",
     "data_growth": "select iteration, count(*) as n_rows, count(distinct operation) as n_operations from train_data group by 1",
 }

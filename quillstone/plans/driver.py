@@ -33,7 +33,7 @@ class EvalConfig:
 
 @dataclass(frozen=True)
 class LoopConfig:
-    """A run. Unknown keys of a file are errors in sections that are checked, missing ones have these defaults."""
+    """A run. Unknown keys of a file are ignored, missing ones have these defaults."""
 
     generate_target: int = 400
     heldout_fraction: float = 0.1

@@ -235,14 +235,6 @@ def judge_reward(spark: SparkSession, sf: str) -> DataFrame:
     return v.select("example_id", T.judge_reward(s, F.col("confidence").isNotNull()).alias("reward"))
 
 
-def judge_score(spark: SparkSession, sf: str) -> DataFrame:
-    """Scores read from texts with and without tags."""
-    v = spark.read.parquet(f"{sf}/validated.parquet")
-    k = F.col("example_id") % 4
-    text = F.when(k == 0, "<score> 0.5 </score>").when(k == 1, "First no, in the end YES.").when(k == 2, "<score>1.5</score>").otherwise("nothing here, incorrect")
-    return v.select("example_id", T.judge_score(text).alias("score"))
-
-
 _M = "count(*) as total, count(*) filter (where correct <> 'incomplete') as completed, count(*) filter (where correct = 'true') as correct, count(*) filter (where correct = 'incomplete') as incomplete"
 _BOTH_SQL = f"""with {SCORED_SQL}, m as (select split, effort, {_M}, count(*) filter (where correct = 'true') / count(*) as accuracy from scored group by 1, 2),
 sides as (select i.split, h.correct as correct_h, h.total as n_h, h.completed as done_h, h.accuracy as acc_h, i.correct as correct_i, i.total as n_i, i.accuracy as acc_i
@@ -254,7 +246,7 @@ QUERIES = {
     for f in (
         eval_metrics_ci, eval_differential, eval_coverage_check, overfit_gap, delta_block, sequential_stop, dual_eval_stop, required_n,
         noise_band, marginal_flags, marginal_streak, number_only, last_number, newline_escape, numeric_match, evaluator_basic,
-        scored_answers, scored_metrics, judge_reward, judge_score,
+        scored_answers, scored_metrics, judge_reward,
     )
 }
 SQL = {
@@ -286,8 +278,8 @@ v as (select *, case when ok then cast(o as double) end as d from a)
 select answer_id, ok as number_only, case when not ok then null when d = floor(d) and abs(d) <= 9007199254740992 then cast(cast(d as decimal(20,0)) as varchar)
 else regexp_replace(o, '^\++', '') end as value from v""",
     "last_number": rf"select answer_id, regexp_extract_all(output, '{_NUM}')[-1] as last_number from arithmetic_run_instant",
-    "newline_escape": r"""select doc_id, replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10), '\n') as escaped,
-replace(replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10), '\n'), '\n', chr(10)) = text as round_trip from documents""",
+    "newline_escape": r"""with e as (select doc_id, text, replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10), '\n') as escaped from documents)
+select doc_id, escaped, replace(replace(escaped, '\n', chr(10)), '\r', chr(13)) = text as round_trip from e""",
     "numeric_match": f"""with {SCORED_SQL} select split, correct = 'true' as matches, count(*) as n from scored group by 1, 2""",
     "evaluator_basic": """with a as (select cast(l_quantity as bigint) as q, cast(l_linenumber as bigint) as n from lineitem),
 g as (select q, n, count(*) as n_rows from a group by 1, 2)
@@ -295,5 +287,4 @@ select concat('(', q, '+', n, ')^2 - max(', q, ',', n, ')*', n, ' + ', n, '!') a
 cast((q + n) * (q + n) - greatest(q, n) * n + factorial(cast(n as int)) as double) as value from g""",
     "judge_reward": """select example_id, 0.1::double * (case when confidence is null then -1.0 else 0.0 end)::double
 + (case confidence when 'high' then 1.0 when 'medium' then 0.5 else 0.0 end)::double as reward from validated""",
-    "judge_score": """select example_id, cast(case example_id % 4 when 0 then 0.5 when 1 then 1.0 when 2 then 1.0 else 0.0 end as double) as score from validated""",
 }

@@ -76,7 +76,7 @@ def generation_round(spark: SparkSession, sf: str) -> DataFrame:
     pool = spark.read.parquet(f"{sf}/train_data.parquet").where("operation is not null").select("operation", "solution", key.alias("key"))
     held = spark.read.parquet(f"{sf}/eval_heldout_sample.parquet").where("operation is not null").select(key.alias("key"))
     v = spark.read.parquet(f"{sf}/validated.parquet").where("operation is not null")
-    text = F.concat(F.lit("<example><operation>"), "operation", F.lit("</operation><solution>"), F.coalesce("solution", F.lit("")), F.lit("</solution></example>"))
+    text = F.concat(F.lit("<example> operation: "), "operation", F.lit(" solution: "), F.coalesce("solution", F.lit("")), F.lit(" </example>"))
     responses = v.select(F.col("example_id").alias("key"), text.alias("text"))
     verdicts = v.groupBy("operation").agg(F.max("confidence").alias("c")).select("operation", F.concat(F.lit("<verdict>keep</verdict><confidence>"), F.coalesce("c", F.lit("low")), F.lit("</confidence>")).alias("text"))
     out = generate_and_validate(pool, held, responses, verdicts, None)

@@ -15,24 +15,26 @@ def _history(spark: SparkSession, sf: str) -> DataFrame:
     r = F.col("record")
     return h.select(
         "history_id", "run_id", "file_seq", "line_no",
-        (F.col("file_seq").cast("long") * 1_000_000 + F.col("line_no")).alias("ord"),
+        (F.col("file_seq").cast("long") * 4_294_967_296 + F.col("line_no")).alias("ord"),
         R.path(r, "iteration").try_cast("int").alias("iteration"),
         R.path(r, "generation").try_cast("int").alias("generation"),
         R.path(r, "train_pool_size").try_cast("int").alias("train_pool_size"),
         R.accuracy(r, "heldout.pre").alias("heldout_pre"),
         R.accuracy(r, "heldout.post").alias("heldout_post"),
         R.number(r, "delta.overfit_gap").alias("overfit_gap"),
-        R.path(r, "train.state_path").alias("state_path"),
+        R.path(r, "train.state_path").alias("state_path"), R.path(r, "kind").alias("kind"), R.path(r, "source").alias("source"),
     )
 
 
 _OK = "json_valid(record) and json_type(record) = 'OBJECT'"
 _D = lambda *ps: "coalesce(" + ", ".join(f"try_cast(case when json_type(record, '$.{p}') in ('DOUBLE','BIGINT','UBIGINT','HUGEINT') then record->>'$.{p}' end as double)" for p in ps) + ")"
 _ACC = lambda p: _D(p, f"{p}.instant.accuracy", f"{p}.accuracy", f"{p}.instant_accuracy")
-_H = f"""h as (select history_id, run_id, file_seq, line_no, cast(file_seq as bigint) * 1000000 + line_no as ord,
+_H = f"""h as (select history_id, run_id, file_seq, line_no, cast(file_seq as bigint) * 4294967296 + line_no as ord,
  try_cast(record->>'$.iteration' as int) as iteration, try_cast(record->>'$.generation' as int) as generation,
  try_cast(record->>'$.train_pool_size' as int) as train_pool_size, {_ACC('heldout.pre')} as heldout_pre, {_ACC('heldout.post')} as heldout_post,
- {_D('delta.overfit_gap')} as overfit_gap, record->>'$.train.state_path' as state_path from (select * from history where {_OK}))"""
+ {_D('delta.overfit_gap')} as overfit_gap, record->>'$.train.state_path' as state_path, record->>'$.kind' as kind, record->>'$.source' as source from (select * from history where {_OK}))"""
+
+_IMP = f"(iteration = -1 or kind in {R.IMPORTED_KINDS} or source in {R.IMPORTED_SOURCES})"
 
 
 def history_fields(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,11 +43,10 @@ def history_fields(spark: SparkSession, sf: str) -> DataFrame:
 
 def history_generation(spark: SparkSession, sf: str) -> DataFrame:
     h = _history(spark, sf)
-    imported = R.is_imported(F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("iteration"))
+    imported = R.is_imported(F.col("kind"), F.col("source"), F.col("iteration"))
     slots = h.groupBy("run_id").agg(F.max(imported).alias("any_imported"))
     j = h.join(slots, h["run_id"].eqNullSafe(slots["run_id"])).select(h["*"], "any_imported")
-    explicit = F.when(F.col("generation") % 2 == 0, F.col("generation"))
-    return j.select("history_id", R.generation(explicit, imported, F.col("iteration"), F.col("any_imported")).alias("generation"))
+    return j.select("history_id", R.generation(F.col("generation"), imported, F.col("iteration"), F.col("any_imported")).alias("generation"))
 
 
 def history_series(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,10 +82,43 @@ def history_merge_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def marginal_history(spark: SparkSession, sf: str) -> DataFrame:
-    """Gain of each run's held-out accuracy over the record before."""
-    h = _history(spark, sf).where("heldout_post is not null and run_id is not null")
-    w = Window.partitionBy("run_id").orderBy("ord", "history_id")
-    return h.select("history_id", F.round(F.col("heldout_post") - F.lag("heldout_post").over(w), 9).alias("gain"))
+    """Whether the gain of each record is marginal: held-out pair, training pair, or post against that of the record before."""
+    h = R.readable(spark.read.parquet(f"{sf}/history.parquet"), "record")
+    out = R.with_marginal(h, "record", ["run_id"], ["file_seq", "line_no", "history_id"], 0.005, 1.0)
+    return out.select("history_id", F.round("gain", 9).alias("gain"), F.round("band", 9).alias("band"), "marginal")
+
+
+def marginal_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Golden histories: with the noise band and without."""
+    rows = spark.createDataFrame([(c, i, r) for c, records in enumerate(MARGINAL) for i, r in enumerate(records[0])], "c int, i int, record string")
+    on, off = (R.with_marginal(rows, "record", ["c"], ["i"], 0.005, z).select("c", "i", F.col("marginal").alias(n)) for n, z in (("with_band", 1.0), ("without", 0.0)))
+    return on.join(off, ["c", "i"])
+
+
+def interim_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Imported and interim records."""
+    h = R.readable(spark.read.parquet(f"{sf}/history.parquet"), "record")
+    r, v = F.col("record"), F.try_parse_json("record")
+    role = F.coalesce(R.path(r, "heldout.post.role"), F.when(R.path(r, "heldout.post").isNull(), F.coalesce(R.path(r, "post_heldout.role"), R.path(r, "post.role"))))
+    pending = F.schema_of_variant(F.try_variant_get(v, "$.ci_refine_pending", "variant")) == "BOOLEAN"
+    pending = F.coalesce(pending, F.lit(False)) & (R.path(r, "ci_refine_pending") == "true")
+    imported = R.is_imported(R.path(r, "kind"), R.path(r, "source"), R.path(r, "iteration").try_cast("int"))
+    return h.select("history_id", imported.alias("imported"), R.is_interim(pending, role, R.path(r, "note")).alias("interim"))
+
+
+# golden histories (records) with the marks of their records, with the noise band and without
+_P = '{"pre_heldout": {"instant": {"accuracy": %s%s}}, "post_heldout": {"instant": {"accuracy": %s%s}}}'
+_C = ', "correct": %d, "total": 200'
+MARGINAL = [
+    ([_P % ("0.10", "", "0.101", "")], [(True, True)]),
+    ([_P % ("0.50", _C % 100, "0.515", _C % 103)], [(True, False)]),
+    ([_P % ("0.50", _C % 100, "0.62", _C % 124)], [(False, False)]),
+    ([_P % ("0.50", "", "0.515", _C % 103)], [(False, False)]),
+    ([_P % ("0.10", "", "0.20", ""), '{"pre_heldout": {"instant": {"accuracy": 0.20}}, "post": {"instant": {"accuracy": 0.201}}}'], [(False, False), (True, True)]),
+    ([_P % ("0.10", "", "0.20", ""), _P % ("0.20", "", "0.202", ""), _P % ("0.202", "", "0.203", "")], [(False, False), (True, True), (True, True)]),
+    (['{"train_seed": {"pre": 0.3, "post": 0.9}, "heldout": {"pre": 0.3}}', '{"accuracy": 0.91}'], [(False, False), (False, False)]),
+    (['{"post": 0.5}', '{"post_eval": {"instant_accuracy": 0.504}}', "{}"], [(False, False), (True, True), (False, False)]),
+]
 
 
 def pre_post_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -177,27 +211,74 @@ def list_runs(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        history_fields, history_generation, history_series, latest_eval, history_upsert, history_merge_files, marginal_history, pre_post_pairs,
+        history_fields, history_generation, history_series, latest_eval, history_upsert, history_merge_files, marginal_history, marginal_cases, interim_records, pre_post_pairs,
         chart_points, refine_overlay, headline_fallback, reuse_check, checkpoint_roles, checkpoint_index_dedup, events_tail, status_last_value,
         eval_progress_by_tag, event_counts, baseline_view, list_runs,
     )
 }
+
+
+def _telling(path: str) -> str:
+    x, k = f"record->'$.{path}'", f"json_type(record, '$.{path}')"
+    none = f"{k} is null or {k} = 'NULL' or cast({x} as varchar) in ('\"\"', '{{}}', '[]', 'false') or ({k} in ('DOUBLE','BIGINT','UBIGINT','HUGEINT') and try_cast(record->>'$.{path}' as double) = 0)"
+    return f"case when not ({none}) then {x} end"
+
+
+_NUMS = "('DOUBLE','BIGINT','UBIGINT','HUGEINT')"
+
+
+def _acc_sql(x: str) -> str:
+    return f"""case when json_type({x}) in {_NUMS} then try_cast({x}->>'$' as double) when json_type({x}) <> 'OBJECT' then null
+when json_type({x}, '$.instant') = 'OBJECT' then try_cast({x}->>'$.instant.accuracy' as double)
+else coalesce(try_cast({x}->>'$.accuracy' as double), try_cast({x}->>'$.instant_accuracy' as double)) end"""
+
+
+def _count_sql(x: str, name: str) -> str:
+    at = lambda p: f"case when json_type({x}, '$.{p}') in {_NUMS} then floor(try_cast({x}->>'$.{p}' as double)) end"
+    return f"case when json_type({x}, '$.instant') = 'OBJECT' then {at('instant.' + name)} else {at(name)} end"
+
+
+def _blob_sql(*paths: str) -> str:
+    return f"coalesce({', '.join(map(_telling, paths))})"
+
+
+_KEPT = ("a0", "b0", "a1", "b1")
+_BLOBS = dict(zip(_KEPT, [_blob_sql(*p) for pair in R.PAIRS for p in pair], strict=True))
+_MARGINAL_SQL = f"""with x as (select history_id, run_id, file_seq, line_no, {', '.join(f'{b} as {n}' for n, b in _BLOBS.items())},
+ coalesce({_telling('post')}, {_telling('post_eval')}, cast(record as json)) as own from history where {_OK}),
+y as (select *, {', '.join(f'{_acc_sql(n)} as acc_{n}' for n in _KEPT)} from x),
+z as (select *, case when acc_a0 is not null and acc_b0 is not null then a0 when acc_a1 is not null and acc_b1 is not null then a1 end as pre,
+ case when acc_a0 is not null and acc_b0 is not null then b0 when acc_a1 is not null and acc_b1 is not null then b1 end as post from y),
+p as (select history_id, coalesce(pre, lag(coalesce(post, own)) over (partition by run_id order by file_seq, line_no, history_id)) as a, coalesce(post, own) as b from z),
+q as (select history_id, {_acc_sql('b')} - ({_acc_sql('a')}) as gain, {_count_sql('a', 'correct')} as ca, {_count_sql('a', 'total')} as na,
+ {_count_sql('b', 'correct')} as cb, {_count_sql('b', 'total')} as nb from p),
+r as (select *, case when gain is not null and na > 0 and nb > 0 then coalesce(sqrt((ca/na)*(1-ca/na)/na + (cb/nb)*(1-cb/nb)/nb), 0.0) else 0.0 end as band from q)
+select history_id, round(gain, 9) as gain, round(band, 9) as band, coalesce(gain < greatest(0.005, band), false) as marginal from r"""
+
 SQL = {
     "history_fields": f"with {_H} select * from h",
-    "history_generation": f"""with {_H}, s as (select run_id, coalesce(bool_or(iteration = -1), false) as any_imported from h group by 1)
-select history_id, cast(coalesce(case when generation % 2 = 0 then generation end, case when iteration = -1 then 1 else iteration + case when any_imported then 2 else 1 end end, 1) as bigint) as generation
+    "history_generation": f"""with {_H}, s as (select run_id, coalesce(bool_or({_IMP}), false) as any_imported from h group by 1)
+select history_id, cast(coalesce(generation, case when {_IMP} then 1 else iteration + case when any_imported then 2 else 1 end end, 1) as bigint) as generation
 from h join s on h.run_id is not distinct from s.run_id""",
     "history_series": f"""with {_H} select run_id, string_agg(coalesce(cast(iteration as varchar), '-'), ',' order by ord, iteration, train_pool_size) as iterations,
 string_agg(coalesce(cast(train_pool_size as varchar), '-'), ',' order by ord, iteration, train_pool_size) as pool_sizes from h group by 1""",
     "latest_eval": f"""with {_H} select run_id, iteration, heldout_post from (select *, row_number() over (partition by run_id order by ord desc, history_id desc) as rn from h where heldout_post is not null) where rn = 1""",
     "history_upsert": f"""with {_H}, x as (select *, concat(run_id, ':', iteration) as k from h where run_id is not null and iteration is not null)
-select k, min(ord) as place, arg_max(history_id, ord * 100000000 + history_id) as history_id from x group by 1""",
+select k, min(ord) as place, arg_max(history_id, (ord, history_id)) as history_id from x group by 1""",
     "history_merge_files": f"""with {_H}, x as (select *, concat(run_id, ':', iteration) as k from h where run_id is not null and iteration is not null),
 n as (select k, arg_max(history_id, ord) as history_id from x where file_seq > 0 group by 1),
 b as (select k, arg_min(history_id, ord) as history_id from x where file_seq = 0 group by 1)
 select * from n union all select * from b where k not in (select k from n)""",
-    "marginal_history": f"""with {_H} select history_id, round(heldout_post - lag(heldout_post) over (partition by run_id order by ord, history_id), 9) as gain
-from h where heldout_post is not null and run_id is not null""",
+    "marginal_history": _MARGINAL_SQL,
+    "marginal_cases": "select * from (values " + ", ".join(
+        f"({c}, {i}, {str(a).lower()}, {str(b).lower()})" for c, (_, marks) in enumerate(MARGINAL) for i, (a, b) in enumerate(marks)
+    ) + ") as t(c, i, with_band, without)",
+    "interim_records": f"""select history_id, coalesce(record->>'$.kind' in {R.IMPORTED_KINDS}, false) or coalesce(record->>'$.source' in {R.IMPORTED_SOURCES}, false)
+ or coalesce(try_cast(record->>'$.iteration' as int) = -1, false) as imported,
+coalesce(json_type(record, '$.ci_refine_pending') = 'BOOLEAN' and record->>'$.ci_refine_pending' = 'true', false)
+ or coalesce(coalesce(record->>'$.heldout.post.role', case when record->>'$.heldout.post' is null then coalesce(record->>'$.post_heldout.role', record->>'$.post.role') end) in {R.INTERIM_ROLES}, false)
+ or (contains(lower(coalesce(record->>'$.note', '')), 'interim') and contains(lower(coalesce(record->>'$.note', '')), 'ci refine')) as interim
+from history where {_OK}""",
     "pre_post_pairs": f"""with {_H} select history_id, heldout_pre, lag(heldout_post) over (partition by run_id order by ord, history_id) as previous_post from h where run_id is not null""",
     "chart_points": f"""with {_H}, p as (select generation, round(avg(heldout_post), 6) as accuracy, count(*) as n from h where generation is not null group by 1),
 l as (select generation + 1 as generation, 0 as n from h where generation is not null and heldout_post is null group by 1)

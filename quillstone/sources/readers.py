@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -54,12 +54,17 @@ def operations_csv(spark: SparkSession, path: str) -> DataFrame:
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, value): the text lines of one or more files with their 1-based position.
 
-    Positions come from one pass per file in file order: a file is one task here, as line numbers need its beginning.
+    Files are split as usual: lines are counted per split, and the running sum over the splits of a file sees one row a
+    split. Only the numbers of lines need a second, narrow pass over the file.
     """
-    df = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    body = F.regexp_replace("value", r"\r?\n$", "")
-    out = df.where(F.length("value") > 0).select("file", F.posexplode(F.split(body, r"\r?\n")).alias("pos", "value"))
-    return out.select("file", (F.col("pos") + 1).alias("line_no"), "value")
+    each = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"), "value"
+    )
+    splits = each.groupBy("file", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    at = F.col("_off") + F.col("_id") - F.col("_first") + 1
+    return each.join(splits, ["file", "_start"]).select("file", at.alias("line_no"), "value")
 
 
 def json_lines(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:

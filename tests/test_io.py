@@ -136,3 +136,19 @@ def test_driver_pieces(tmp_path):
         driver.Journal(tmp_path / "loose", 1, cfg)
     with driver.run_lock(tmp_path / "lock"), pytest.raises(RuntimeError), driver.run_lock(tmp_path / "lock"):
         pass
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    from quillstone.sources.readers import lines
+
+    for name in "ab":
+        (tmp_path / name).write_text("".join(f"{name}{i}{'x' * (i % 50)}\n" for i in range(1, 2001)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        df = lines(spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() > 3
+        rows = df.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 4000
+    assert all(r["value"].rstrip("x") == f"{r['file'][-1]}{r['line_no']}" for r in rows)

@@ -26,7 +26,7 @@ def test_syntax_keys(a, b, same):
     [
         ("2+2", 4), ("5!", 120), ("(2+1)!", 6), ("fib(10)!", None), ("3!!", 720), ("7//2", 3), ("-7%3", 2), ("2^10", 1024), ("comb(5,2)+C(5,2)", 20), ("gcd(12,18,8)", 2),
         ("lcm(4,0)", 0), ("round(2.5)", 2), ("sigma(6)", 12), ("phi(10)+totient(9)", 10), ("prime_count(10)", 4), ("nth_prime(5)", 11), ("digit_product(0)", 0), ("reverse_digits(-120)", -21),
-        ("sqrt(2)^2", None), ("1/0", None), ("max()", None), ("__import__('os')", None), ("a+1", None), ("", None), ("9" * 201, None), ("sigma(" + "9" * 30 + ")", None), ("factorial(21)", None),
+        ("sqrt(2)^2", None), ("1/0", None), ("max()", None), ("__import__('os')", None), ("a+1", None), ("", None), ("9" * 201, 1e201), ("1" * 400, None), ("4.0!", None), ("fact (3)!", 720), ("sigma(" + "9" * 30 + ")", None), ("factorial(21)", None),
         ("2^41", None), ("(-8)^0.5", None), ("isqrt(17)", 4), ("mod(7,-3)", -2),
     ],
 )
@@ -63,7 +63,16 @@ def test_numbers_in_text(spark):
 
 
 def test_verdict_and_pairs(spark):
-    v = one(spark, T.verdict, "<verdict>KEEP</verdict><confidence> High </confidence><solution> 42 </solution>", "nothing")
+    v = one(spark, T.verdict, "<verdict>KEEP</verdict><confidence> High </confidence><solution> 42.0 </solution>", "nothing")
     assert [tuple(x) for x in v] == [(True, "high", "42"), (False, "low", None)]
-    js = one(spark, T.generated_pairs, 'x [{"operation":"5-5","solution":0},{"expr":"1+1","answer":"2"},3] y', "<example><operation>1+2</operation><solution>3</solution></example>", "- 3+4 = 7\noperation, solution", "nothing")
+    js = one(spark, T.generated_pairs, 'x [{"operation":"5-5","solution":0},{"expr":"1+1","answer":"2"},3] y', "<example>operation: 1+2 solution: 3.0</example>", "- 3+4 = 7\noperation, solution", "nothing")
     assert [[tuple(p) for p in x] for x in js] == [[("1+1", "2")], [("1+2", "3")], [("3+4", "7")], []]
+
+
+def test_labels_and_prompts(spark):
+    at = lambda c: F.to_timestamp(c)
+    label = lambda c: T.age_label(at(c), F.lit("2024-05-02 00:00:00").cast("timestamp"))
+    got = one(spark, label, "2024-05-01 23:59:30", "2024-05-01 23:01:00", "2024-05-01 01:00:00", "2024-04-01 01:02:03", None)
+    assert got == ["30s ago", "59m ago", "23h ago", "2024-04-01 01:02:03Z", ""]
+    assert one(spark, T.operation_prompt, "1+2") == ["What is the result of 1+2? Give only the result."]
+    assert "Expression: 1+2\nModel answer: 3\n\nRespond" in one(spark, lambda c: T.judge_prompt(c, F.lit("3")), "1+2")[0]

@@ -375,8 +375,18 @@ def test_init_run(spark):
 def test_generation_without_target_keeps_every_candidate(spark):
     from quillstone.plans.pipelines import generated
 
-    text = "<example><operation>{0}+1</operation><solution>{0}</solution></example>"
+    text = "<example>operation: {0}+1 solution: {0}</example>"
     replies = spark.createDataFrame([(i, text.format(i)) for i in range(20)], "key long, text string")
     none = spark.createDataFrame([], "key string")
     assert generated(replies, none, none, None).count() == 20
     assert generated(replies, none, none, 5).count() == 5
+
+
+def test_optional_split_may_hold_nothing_out(spark):
+    from quillstone.operators.sampling import split
+
+    df = spark.range(10)
+    assert {r["split"] for r in split(df, 0, 1, "id", optional=True).collect()} == {"train"}
+    assert {r["split"] for r in split(df.limit(1), 0.5, 1, "id", optional=True).collect()} == {"train"}
+    with pytest.raises(ValueError):
+        split(df, 0, 1, "id")
