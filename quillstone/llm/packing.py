@@ -30,25 +30,40 @@ SLICE_ROWS = 1_000_000
 
 
 def bucket_bounds(sizes: np.ndarray, counts: np.ndarray, k: int) -> list[int]:
-    """Upper bounds of at most ``k`` buckets with least total padding, by dynamic programming over the histogram."""
+    """Upper bounds of at most ``k`` buckets with least total padding, by dynamic programming over the histogram.
+
+    Best beginnings of last buckets rise with their ends (the cost satisfies the quadrangle inequality), so each layer halves
+    the range of ends and of beginnings level by level: k * m * log(m) steps for m sizes, vectorised by level.
+    """
     m = len(sizes)
     if m <= k:
         return sizes.tolist()
+    size = sizes.astype(np.float64)
     n = np.concatenate([[0], np.cumsum(counts)]).astype(np.float64)
-    w = np.concatenate([[0], np.cumsum(counts * sizes)]).astype(np.float64)
-    # cost of the bucket of sizes i..j-1 with bound sizes[j-1]
-    best = sizes * n[1:] - w[1:]
-    choice = np.zeros((k, m), dtype=np.int32)
+    w = np.concatenate([[0], np.cumsum(counts * size)])
+    # cost of the bucket of sizes i..j with bound sizes[j]
+    best = size * n[1:] - w[1:]
+    choice = np.tile(np.arange(m, dtype=np.int32), (k, 1))
+    choice[0] = 0
     for b in range(1, k):
-        new = np.empty(m)
-        for j in range(m):
-            i = np.arange(b, j + 1) if j >= b else np.array([j])
-            if j < b:
-                new[j], choice[b, j] = best[j], j
-                continue
-            cost = best[i - 1] + sizes[j] * (n[j + 1] - n[i]) - (w[j + 1] - w[i])
-            p = int(np.argmin(cost))
-            new[j], choice[b, j] = cost[p], i[p]
+        new = best.copy()
+        # ends from..to whose best beginnings lie within low..high
+        start, stop, low, high = (np.array([x]) for x in (b, m - 1, b, m - 1))
+        while len(start):
+            j = (start + stop) // 2
+            top = np.minimum(high, j)
+            length = top - low + 1
+            first = np.concatenate([[0], np.cumsum(length)[:-1]])
+            part = np.repeat(np.arange(len(j)), length)
+            i = np.arange(len(part)) - first[part] + low[part]
+            cost = best[i - 1] + size[j[part]] * (n[j[part] + 1] - n[i]) - (w[j[part] + 1] - w[i])
+            least = np.minimum.reduceat(cost, first)
+            at = np.flatnonzero(cost == least[part])
+            at = i[at[np.unique(part[at], return_index=True)[1]]]
+            new[j], choice[b, j] = least, at
+            start, stop, low, high = (np.concatenate(x) for x in ((start, j + 1), (j - 1, stop), (low, at), (at, high)))
+            keep = start <= stop
+            start, stop, low, high = start[keep], stop[keep], low[keep], high[keep]
         best = new
     out, j = [], m - 1
     for b in range(k - 1, -1, -1):
