@@ -39,6 +39,8 @@ def _tables() -> tuple[str, str]:
 _FROM, _TO = _tables()
 _BLANK = r"[\s\p{Z}\p{Cc}\p{Cf}\x{FE00}-\x{FE0F}\x{115F}\x{1160}\x{3164}\x{FFA0}\x{2800}]+"
 _INTRO = r"^(?:->|=>|[=>:|#•◦▪‣·*~→⇒➔,?…]|\.(?![0-9]))+"
+_ENCLOSED = r"^[(\[{][\s\S]*[)\]}]$"
+_LEADING = r"^(?:[(\[{]|->|=>|[=>:|#•◦▪‣·*~→⇒➔,?…]|\.(?![0-9]))+"
 _CLOSE = r"(?:[=?.:,…|#*~>→•。])+$"
 
 
@@ -80,35 +82,37 @@ def barrier(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*keep, made).select(*keep, *[F.col("_made")[c].alias(c) for c in columns])
 
 
+def _peeled(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(c, _INTRO, ""), _CLOSE, "")
+
+
+def _bare(c: Column) -> Column:
+    """Brackets around the whole and the marks within them taken off, layer after layer, until nothing changes.
+
+    Every step takes at least one of the brackets that the text begins with, so their number bounds the steps.
+    """
+    layers = lambda s: F.when(
+        s.rlike(_ENCLOSED),
+        _outer_layers(s, F.length(F.regexp_extract(s, r"^([(\[{]*)", 1)), F.length(F.regexp_extract(s, r"([)\]}]*)$", 1))),
+    ).otherwise(F.lit(0))
+
+    def step(s: Column, _: Column) -> Column:
+        # a one-element array binds the number of layers, which is used twice
+        inner = F.transform(F.array(layers(s)), lambda k: F.when(k > 0, _peeled(F.substring(s, k + 1, F.length(s) - 2 * k))).otherwise(s))
+        return F.when(s.rlike(_ENCLOSED), inner[0]).otherwise(s)
+
+    begins = F.regexp_extract(c, _LEADING, 0)
+    most = F.length(F.regexp_replace(begins, r"[^(\[{]", ""))
+    return F.when(c.rlike(_ENCLOSED), F.aggregate(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), c, step)).otherwise(c)
+
+
 def with_spelling(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Adds, for each new name: source column, the canonical spelling; '' for null, blank and mark-only texts.
 
-    Brackets and marks may alternate three times around a text. Names starting with ``_sp`` are used on the way.
+    Brackets and marks may alternate around a text however often.
     """
-    own = list(columns)
-    peeled = lambda c: F.regexp_replace(F.regexp_replace(c, _INTRO, ""), _CLOSE, "")
-    df = barrier(df, {c: peeled(flat(F.col(src))) for c, src in columns.items()})
-    for last in (False, False, True):
-        df = barrier(
-            df,
-            {
-                f"_sp_{c}": F.when(
-                    F.col(c).rlike(r"^[(\[{][\s\S]*[)\]}]$"),
-                    _outer_layers(
-                        F.col(c),
-                        F.length(F.regexp_extract(c, r"^([(\[{]*)", 1)),
-                        F.length(F.regexp_extract(c, r"([)\]}]*)$", 1)),
-                    ),
-                ).otherwise(F.lit(0))
-                for c in own
-            },
-        )
-        inner = {c: F.substring(c, F.col(f"_sp_{c}") + 1, F.length(c) - 2 * F.col(f"_sp_{c}")) for c in own}
-        inner = {c: F.when(F.col(f"_sp_{c}") > 0, peeled(x)).otherwise(F.col(c)) for c, x in inner.items()}
-        if last:
-            inner = {c: _ungrouped(x) for c, x in inner.items()}
-        df = barrier(df, inner)
-    return df.drop(*[f"_sp_{c}" for c in own])
+    df = barrier(df, {c: _peeled(flat(F.col(src))) for c, src in columns.items()})
+    return barrier(df, {c: _ungrouped(_bare(F.col(c))) for c in columns})
 
 
 def _ungrouped(s: Column) -> Column:
