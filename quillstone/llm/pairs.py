@@ -5,12 +5,12 @@ pair find empty responses, copies (the question again and no value) and foreign
 is either cut off or a refusal, and that is read from the templates of all responses:
 
 * A response whose words begin a template that goes on to a value in other pairs was cut off.
-* Openings (and for short responses the whole) are clustered by MinHash over five-word shingles, candidates of one band
-  being verified against the smallest member at a similarity of 0.8. A cluster that never gives a value, recurs over
-  unrelated questions and ends its sentences declines or evades: shingles of ended templates that come with at least two
-  different computations recur, and carry the finding over to all wordings that have one of them. A wording that ends its
-  sentences and has none is rare; it declines too, unless it has a shingle of a template that gives a value.
-* All others break off without an end, and are cut off.
+* Openings (the first 12 words; for short responses the whole) are clustered by MinHash over five-word shingles; candidates
+  of one band are verified at a similarity of 0.8, and verified links are followed to connected components. A template
+  recurs if it shares a shingle of ended templates that come with at least two different computations (counted
+  exactly), which are no two of a kind: templates that recur over unrelated questions decline or evade, and so do the
+  ended ones in the cluster of such a one.
+* All others break off without giving a value, also such as were said once only, and are cut off.
 
 Defined cases: null outputs, and such as hold no letter or digit, are empty. A null question matches nothing. A bare
 number as question is its own value. Rows written twice are judged twice, alike. Every output is read whole. Empty tables
@@ -32,7 +32,8 @@ from quillstone.session import cut
 
 SHINGLE, SIMILARITY = 5, 0.8
 OPENING = 12
-BANDS, ROWS = 16, 2
+#: Rows a band: unlike openings seldom meet, pairs at 0.8 meet in one of the bands with a probability of 0.9998.
+BANDS, ROWS = 16, 4
 
 # fixed values: common English words of questions, explanations and refusals
 ENGLISH = frozenset(
@@ -173,9 +174,10 @@ def _jaccard(a: str, b: str) -> float:
 
 
 def opening_clusters(openings: DataFrame) -> DataFrame:
-    """(opening, cluster) for a table of distinct openings: verified MinHash stars, joined twice over their centres.
+    """(opening, cluster) for a table of distinct openings: connected components of verified MinHash links.
 
-    A band bucket links each member only to its smallest member, so a bucket of n openings gives n - 1 candidates.
+    A band bucket links each member to its smallest member; members unlike it form the next bucket of their band, until
+    none is left. So a bucket of n alike openings gives n - 1 candidates, and no alike pair of a bucket stays apart.
     """
 
     def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,20 +185,31 @@ def opening_clusters(openings: DataFrame) -> DataFrame:
             rows = [(o, b) for o in batch["opening"] for b in _bands(o.split(" "))]
             yield pd.DataFrame(rows, columns=["opening", "band"])
 
-    each = openings.select("opening").mapInPandas(bands, "opening string, band string")
-    centre = each.groupBy("band").agg(F.min("opening").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    links = join_to_groups(each, centre, ["band"], "n").where("opening <> centre").select("opening", "centre").distinct()
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch[[_jaccard(a, b) >= SIMILARITY for a, b in zip(batch["opening"], batch["centre"], strict=True)]]
-
-    true = links.mapInPandas(verify, "opening string, centre string")
-    up = true.groupBy("opening").agg(F.min("centre").alias("centre"))
-    labels = openings.select("opening").join(up, "opening", "left").select(
-        "opening", F.coalesce("centre", "opening").alias("cluster")
-    )
-    return cut(labels, "opening-clusters")
+            yield batch.assign(alike=[_jaccard(a, b) >= SIMILARITY for a, b in zip(batch["opening"], batch["centre"], strict=True)])
+
+    rest = cut(openings.select("opening").mapInPandas(bands, "opening string, band string"), "bands")
+    links = None
+    while rest is not None:
+        centre = rest.groupBy("band").agg(F.min("opening").alias("centre"), F.count("*").alias("n")).where("n > 1")
+        pairs = join_to_groups(rest, centre, ["band"], "n").where("opening <> centre").select("opening", "band", "centre")
+        pairs = cut(pairs.mapInPandas(compare, "opening string, band string, centre string, alike boolean"), "compared")
+        found = pairs.where("alike").select("opening", "centre").distinct()
+        links = found if links is None else links.unionByName(found)
+        rest = pairs.where("not alike").select("opening", "band")
+        rest = None if rest.isEmpty() else rest
+    both = cut(links.unionByName(links.select(F.col("centre").alias("opening"), F.col("opening").alias("centre"))).distinct(), "links")
+    labels = openings.select("opening", F.col("opening").alias("cluster"))
+    while not both.isEmpty():
+        # the smallest label of a neighbour, until no label changes
+        near = both.join(labels.withColumnsRenamed({"opening": "centre", "cluster": "c"}), "centre").groupBy("opening").agg(F.min("c").alias("c"))
+        new = labels.join(near, "opening", "left")
+        labels = cut(new.select("opening", F.least("cluster", "c").alias("cluster"), (F.col("c") < F.col("cluster")).alias("changed")), "opening-clusters")
+        if labels.where("changed").isEmpty():
+            break
+        labels = labels.drop("changed")
+    return labels.select("opening", "cluster")
 
 
 def defects(df: DataFrame, id_col: str, question_col: str, output_col: str) -> DataFrame:
@@ -227,8 +240,7 @@ def defects(df: DataFrame, id_col: str, question_col: str, output_col: str) -> D
     rows = cut(rows, "pairs")
     done = rows.where("kind not in ('value', 'open', 'bare')").select("id", F.col("kind").alias("defect"))
 
-    # continuations of the templates that give a value: digest of the stem and every beginning of the next word, so that a
-    # response cut within a word meets them by equality
+    # continuations of the templates that give a value: digest of the stem and the next word
     valued = rows.where("kind = 'value'").select("words").distinct()
 
     def stems(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -237,9 +249,8 @@ def defects(df: DataFrame, id_col: str, question_col: str, output_col: str) -> D
             for t in batch["words"]:
                 w = t.split(" ")
                 w = w[: w.index(NUMBER)] if NUMBER in w else w
-                for stem, word in zip(stems_of(w), w, strict=False):
-                    seen.update((stem, word[:j]) for j in range(1, len(word) + 1))
-            yield pd.DataFrame(sorted(seen), columns=["stem", "last"])
+                seen.update(zip(stems_of(w), w, strict=False))
+            yield pd.DataFrame(sorted(seen), columns=["stem", "next"])
 
     # a bare number in the place of a value is its own answer
     bare = rows.where("kind = 'bare'")
@@ -247,15 +258,18 @@ def defects(df: DataFrame, id_col: str, question_col: str, output_col: str) -> D
     shapes = shapes.join(valued.withColumnRenamed("words", "answered"), "answered", "left_anti")
     own = join_to_groups(bare, shapes, ["answered"], "n")
     open_ = rows.where("kind = 'open'").unionByName(own.select(*rows.columns))
-    goes_on = valued.mapInPandas(stems, "stem string, last string").distinct()
+    goes_on = valued.mapInPandas(stems, "stem string, next string").distinct().withColumn("letter", F.substring("next", 1, 1))
     # one row per open template
     templates = open_.groupBy("words", "opening", "stem", "last").agg(
         F.max("ended").alias("ended"), F.count("*").alias("n")
     )
     templates = cut(templates, "templates")
-    broken = templates.join(goes_on, ["stem", "last"], "left_semi").select("words", "n")
+    # a response may be cut within a word: its last one begins the next word of the template
+    t, g = templates.alias("t"), goes_on.alias("g")
+    same = (F.col("t.stem") == F.col("g.stem")) & (F.substring("t.last", 1, 1) == F.col("g.letter"))
+    broken = cut(t.join(g, same & F.col("g.next").startswith(F.col("t.last")), "left_semi").select("words", "n"), "broken")
     left = templates.join(broken, "words", "left_anti")
-    openings = left.groupBy("opening").agg(F.max("ended").alias("ended"))
+    openings = cut(left.select("opening").distinct(), "openings")
     clusters = opening_clusters(openings)
     gram = F.pandas_udf(_shingle_lists, ArrayType(StringType()))
     grams = cut(left.select("words", "ended", F.explode(gram("words")).alias("g")), "shingles")
@@ -266,18 +280,10 @@ def defects(df: DataFrame, id_col: str, question_col: str, output_col: str) -> D
     recurring = over.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
     recurs = cut(join_to_groups(grams.select("words", "g"), recurring, ["g"], "n").select("words").distinct(), "recurring")
     of_words = left.join(clusters, "opening").join(recurs.withColumn("recurs", F.lit(True)), "words", "left")
-    judged = of_words.groupBy("cluster").agg(F.max("ended").alias("c_ended"), F.max("recurs").alias("c_recurs"))
+    judged = of_words.groupBy("cluster").agg(F.max("recurs").alias("c_recurs"))
     of_words = cut(of_words.join(judged, "cluster").na.fill(False, ["recurs", "c_recurs"]), "judged")
-    # rare wordings that are told like a value
-    rare = grams.join(of_words.where("c_ended and not c_recurs").select("words"), "words", "left_semi").select("words", "g")
-    like_value = rare.join(valued.select(F.explode(gram("words")).alias("g")).distinct(), "g", "left_semi").select("words").distinct()
-    final = of_words.join(like_value.withColumn("like_value", F.lit(True)), "words", "left").select(
-        "words",
-        "n",
-        F.when(F.col("recurs") | (F.col("c_ended") & (F.col("c_recurs") | F.col("like_value").isNull())), "refusal")
-        .otherwise("truncated")
-        .alias("defect"),
-    )
+    declines = F.col("recurs") | (F.col("ended") & F.col("c_recurs"))
+    final = of_words.select("words", "n", F.when(declines, "refusal").otherwise("truncated").alias("defect"))
     final = cut(final.unionByName(broken.withColumn("defect", F.lit("truncated"))), "verdicts")
     rest = join_to_groups(open_.select("id", "words"), final, ["words"], "n").select("id", "defect")
     return done.unionByName(rest).select(F.col("id").alias(id_col), "defect")

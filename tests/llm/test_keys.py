@@ -6,7 +6,7 @@ from quillstone.llm.spelling import with_spelling
 SAME_SPELLING = [
     ("fib(7)*3", " FIB ( 7 ) × 3 "), ("1592", "1,592"), ("2887", "2'887"), ("3+4", "**3 ＋ 4**"), ("3^4", "3**4"), ("max(3371,33757)", "'max(3371; 33757)'"),
     ("22758", "= 22758."), ("(1+2)*3", "\\((1+2)*3\\)"), ("5+6", "[(5+6)] = ?"), ("7", "+7"), ("8/2", "8÷2 …"), ("digit_sum(12_345)", "digit_sum(12345)﻿"),
-    ("", "``"), ("-5", "−5"), ("9614", "9 614"),
+    ("", "``"), ("-5", "−5"), ("7+1", "=(=(=(=(7+1)=)=)=)="), ("7+1", "((((([[7+1]]))=)=)?)"), ("9614", "9 614"),
 ]
 OTHER_SPELLING = [("3+4", "4+3"), ("4", "4.0"), ("max(12,3)", "max(1,23)"), ("5-3", "5+3"), ("1.5", "15"), ("(1+2)*(3+4)", "1+2)*(3+4"), ("-5", "5"), ("5!", "5"), ("max(1,234)", "max(1234)")]
 

@@ -1,4 +1,5 @@
 import base64
+import hashlib
 import os
 import random
 import re
@@ -110,12 +111,25 @@ def test_ledger_of_nothing(spark):
     assert ledger.stable_sample({"t": empty}, "operation", "snapshot").count() == 0
 
 
-def test_lowest_is_exact(spark):
-    rows = [("a", f"k{i}", f"{i * 37 % 1000:032x}") for i in range(1000)] + [("b", f"k{i}", "0" * 32) for i in range(50)]
-    df = spark.createDataFrame(rows, "track string, key string, priority string")
-    got = ledger.lowest(df, {"a": 17, "b": 9, "c": 4}).collect()
-    assert sorted(r["priority"] for r in got if r["track"] == "a") == sorted(r[2] for r in rows if r[0] == "a")[:17]
-    assert sorted(r["key"] for r in got if r["track"] == "b") == sorted(f"k{i}" for i in range(50))[:9]
+def test_ledger_is_continued_by_a_later_run(spark, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    rows = lambda df: {(r["operation"], r["snapshot"]) for r in df.collect()}
+    run = lambda upto, **kw: rows(ledger.stable_sample({"t": ledger_rows(spark, upto)}, "operation", "snapshot", share=0.3, least=5, **kw))
+    first = run(1, path=path)
+    later = run(3, path=path)
+    assert first < later == run(3)
+    with pytest.raises(ValueError):
+        ledger.Ledger(spark, path, share=0.5)
+
+
+def test_cut_is_exact(spark):
+    assert ledger.cut_of({"0a": 3, "00": 2, "ff": 9}, 4) == ("0a", 2)
+    keys = spark.createDataFrame([("a", f"k{i}") for i in range(1000)] + [("b", f"k{i}") for i in range(50)], "track string, key string")
+    book = ledger.Ledger(spark, share=0.02, least=9)
+    book.grow(keys, 0)
+    got = {(r["track"], r["key"]) for r in book.members().collect()}
+    order = lambda t, n: sorted((hashlib.md5(f"ledger-1\x01{t}\x01k{i}".encode()).hexdigest(), f"k{i}") for i in range(n))
+    assert got == {("a", k) for _, k in order("a", 1000)[:20]} | {("b", k) for _, k in order("b", 50)[:9]}
 
 
 # --- 5: incremental deduplication ------------------------------------------------------------------------------------
@@ -220,6 +234,32 @@ def test_pairs_one_by_one():
         assert (kind if kind not in ("value", "open", "bare") else None) == want, (q, o, kind)
 
 
+def test_opening_clusters_against_all_pairs(spark):
+    rng = random.Random(4)
+    words = "we must now decline this one since no rule of ours allows any such answer here today".split()
+    openings = set()
+    for _ in range(60):
+        base = [rng.choice(words) for _ in range(12)]
+        for cut in (12, 11, 10):
+            openings.add(" ".join(base[:cut]))
+            openings.add(" ".join([rng.choice(words), *base[: cut - 1]]))
+    openings = sorted(openings)
+    got = {r["opening"]: r["cluster"] for r in pairs.opening_clusters(spark.createDataFrame([(o,) for o in openings], "opening string")).collect()}
+    up = {o: o for o in openings}
+
+    def root(o):
+        while up[o] != o:
+            o = up[o]
+        return o
+
+    alike = [(a, b) for i, a in enumerate(openings) for b in openings[:i] if pairs._jaccard(a, b) >= 0.8]
+    for a, b in alike:
+        lo, hi = sorted((root(a), root(b)))
+        up[hi] = lo
+    assert len(alike) > 50 and sum(got[a] == got[b] for a, b in alike) >= 0.9 * len(alike)
+    assert all(root(got[o]) == root(o) for o in openings)
+
+
 def test_pairs_by_templates(spark):
     rows, want = [], {}
     template = "To evaluate {q}, I take the parts one after another, which leaves {v} at the end."
@@ -236,6 +276,8 @@ def test_pairs_by_templates(spark):
     for i, say in enumerate(["I must decline to answer.", "I cannot help with this calculation!", "Unfortunately I must decline to answer", "Denied."] * 4):
         want[len(rows)] = "refusal"
         rows.append((len(rows), f"{i}+1", say))
+    want[len(rows)] = "truncated"  # said once
+    rows.append((len(rows), "8+9", "Adding the two parts together gives the total."))
     for i in range(6):
         want[len(rows)] = "truncated"
         rows.append((len(rows), f"{i}+2", "So the final result is equal to"))
@@ -261,7 +303,8 @@ def test_pairs_by_recurrence(spark):
         ("5*8", "Now I take the parts one after another.", "truncated"),
         # the same shingle with one question only, however written, carries nothing
         ("5 * 8", "Look, I take the parts one after another, and", "truncated"),
-        ("6*8", "This is not for me to work out.", "refusal"),
+        # said to one question only: recurrence alone reveals a refusal
+        ("6*8", "This is not for me to work out.", "truncated"),
         ("7*8", "So this is not for me to work out and", "truncated"),
         ("1*8", "Regrettably I must decline to answer this.", "refusal"),
         ("2*8", "Sadly I must decline to answer this.", "refusal"),
