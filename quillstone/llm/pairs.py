@@ -173,11 +173,23 @@ def _jaccard(a: str, b: str) -> float:
     return len(x & y) / len(x | y)
 
 
+def set_keys(opening: str) -> list[tuple[str, bool]]:
+    """Key of an opening's set of shingles (True), and those of the sets with one shingle less that are alike (False).
+
+    An opening has at most eight shingles, so two are alike at 0.8 only if their sets are equal or one has one more.
+    """
+    grams = shingles(opening.split(" ")[:OPENING])
+    key = lambda gs: hashlib.md5("/".join(gs).encode("utf-8", "surrogatepass")).hexdigest()
+    n = len(grams)
+    less = [(key(grams[:i] + grams[i + 1 :]), False) for i in range(n)] if n > 1 and n - 1 >= SIMILARITY * n else []
+    return [(key(grams), True), *less]
+
+
 def opening_clusters(openings: DataFrame) -> DataFrame:
     """(opening, cluster) for a table of distinct openings: connected components of verified MinHash links.
 
-    A band bucket links each member to its smallest member; members unlike it form the next bucket of their band, until
-    none is left. So a bucket of n alike openings gives n - 1 candidates, and no alike pair of a bucket stays apart.
+    A band bucket links each member to its smallest member, so that n openings give n - 1 candidates. Members unlike it are
+    linked to all openings alike by the equality of their sets of shingles, so no alike pair of a bucket stays apart.
     """
 
     def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,16 +201,23 @@ def opening_clusters(openings: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.assign(alike=[_jaccard(a, b) >= SIMILARITY for a, b in zip(batch["opening"], batch["centre"], strict=True)])
 
-    rest = cut(openings.select("opening").mapInPandas(bands, "opening string, band string"), "bands")
-    links = None
-    while rest is not None:
-        centre = rest.groupBy("band").agg(F.min("opening").alias("centre"), F.count("*").alias("n")).where("n > 1")
-        pairs = join_to_groups(rest, centre, ["band"], "n").where("opening <> centre").select("opening", "band", "centre")
-        pairs = cut(pairs.mapInPandas(compare, "opening string, band string, centre string, alike boolean"), "compared")
-        found = pairs.where("alike").select("opening", "centre").distinct()
-        links = found if links is None else links.unionByName(found)
-        rest = pairs.where("not alike").select("opening", "band")
-        rest = None if rest.isEmpty() else rest
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(o, *k) for o in batch["opening"] for k in set_keys(o)], columns=["opening", "key", "whole"])
+
+    each = cut(openings.select("opening").mapInPandas(bands, "opening string, band string"), "bands")
+    centre = each.groupBy("band").agg(F.min("opening").alias("centre"), F.count("*").alias("n")).where("n > 1")
+    pairs = join_to_groups(each, centre, ["band"], "n").where("opening <> centre").select("opening", "centre").distinct()
+    pairs = cut(pairs.mapInPandas(compare, "opening string, centre string, alike boolean"), "compared")
+    keys = cut(openings.select("opening").mapInPandas(sets, "opening string, key string, whole boolean"), "opening-sets")
+    rest = keys.join(pairs.where("not alike").select("opening").distinct(), "opening", "left_semi")
+    # openings of one set are linked to the smallest of them, and a set to the one with a shingle more
+    owner = lambda k: k.where("whole").groupBy("key").agg(F.min("opening").alias("centre"))
+    links = pairs.where("alike").select("opening", "centre")
+    for some, others in ((rest, keys), (keys, rest)):
+        # one row a key on one side, and AQE splits a key that many openings share
+        links = links.unionByName(some.join(owner(others), "key").select("opening", "centre"))
+    links = links.where("opening <> centre")
     both = cut(links.unionByName(links.select(F.col("centre").alias("opening"), F.col("opening").alias("centre"))).distinct(), "links")
     labels = openings.select("opening", F.col("opening").alias("cluster"))
     while not both.isEmpty():
