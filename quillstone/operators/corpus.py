@@ -61,6 +61,10 @@ def pending(operations: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return operations.join(done.select(key).distinct(), key, "left_anti")
 
 
+def finished(operations: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    return operations.join(done.select(key).distinct(), key, "left_semi")
+
+
 def order_mismatches(a: DataFrame, b: DataFrame, ord_col: str, key: str) -> DataFrame:
     """One row with the number of positions at which two ordered lists differ."""
     x, y = a.select(ord_col, F.col(key).alias("_a")), b.select(ord_col, F.col(key).alias("_b"))

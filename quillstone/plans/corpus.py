@@ -119,6 +119,12 @@ def pending_work(spark: SparkSession, sf: str) -> DataFrame:
     return C.pending(_operations(spark, sf, "train_data").where("operation is not null"), done, "operation").select("example_id")
 
 
+def answered_work(spark: SparkSession, sf: str) -> DataFrame:
+    """Training operations with a finished answer."""
+    done = spark.read.parquet(f"{sf}/arithmetic_run_instant.parquet").where(T.is_number_only(F.col("output")))
+    return C.finished(_operations(spark, sf, "train_data"), done, "operation").select("example_id")
+
+
 def ordered_answers(spark: SparkSession, sf: str) -> DataFrame:
     ops = _operations(spark, sf, "train_data").where("operation is not null").select("example_id", "operation")
     return C.answers_in_order(ops, dedup_last_wins(spark, sf), "operation", "output").select("example_id", "output")
@@ -176,7 +182,7 @@ QUERIES = {
     for f in (
         corpus_keys, corpus_tree_keys, commutative_pairs, dedup_first_wins, dedup_last_wins, merge_unique, leak_guard_anti, leak_overlap,
         new_key_count, exact_sample, train_heldout_split, trainer_split, split_manifest, batch_ids, seed_batches, replicate_groups,
-        pending_work, ordered_answers, order_mismatches, prefer_solved, target_capped, validation_funnel, data_growth,
+        pending_work, answered_work, ordered_answers, order_mismatches, prefer_solved, target_capped, validation_funnel, data_growth,
     )
 }
 SQL = {
@@ -200,6 +206,7 @@ from (select example_id, row_number() over (order by example_id) as rn from trai
     "seed_batches": " union all ".join(f"select example_id, {b} as batch from {_ranked(str(7 + 17 * b), 'train_data')} where rk <= 20" for b in range(4)),
     "replicate_groups": "select row_id, cast(unnest([1, 2, 3, 4]) as int) as copy from eval_heldout_sample",
     "pending_work": f"select example_id from train_data where operation is not null and operation not in (select operation from arithmetic_run_instant where {_DONE})",
+    "answered_work": f"select example_id from train_data where operation in (select operation from arithmetic_run_instant where {_DONE})",
     "ordered_answers": f"""with d as (select operation, trim(output) as output from (select *, row_number() over (partition by operation order by answer_id desc) as rn
 from arithmetic_run_instant where {_DONE}) where rn = 1) select example_id, coalesce(d.output, '') as output from train_data t left join d on t.operation = d.operation where t.operation is not null""",
     "order_mismatches": "select count(*) filter (where operation is distinct from trim(operation, ' ')) as mismatches from train_data",

@@ -106,6 +106,13 @@ def interim_records(spark: SparkSession, sf: str) -> DataFrame:
     return h.select("history_id", imported.alias("imported"), R.is_interim(pending, role, R.path(r, "note")).alias("interim"))
 
 
+def latest_interim(spark: SparkSession, sf: str) -> DataFrame:
+    """The last interim record of each run."""
+    h = spark.read.parquet(f"{sf}/history.parquet").select("history_id", "run_id", "file_seq", "line_no")
+    rows = interim_records(spark, sf).where("interim").join(h, "history_id")
+    return rows.groupBy("run_id").agg(F.max_by("history_id", F.struct("file_seq", "line_no", "history_id")).alias("history_id"))
+
+
 # golden histories (records) with the marks of their records, with the noise band and without
 _P = '{"pre_heldout": {"instant": {"accuracy": %s%s}}, "post_heldout": {"instant": {"accuracy": %s%s}}}'
 _C = ', "correct": %d, "total": 200'
@@ -211,7 +218,7 @@ def list_runs(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        history_fields, history_generation, history_series, latest_eval, history_upsert, history_merge_files, marginal_history, marginal_cases, interim_records, pre_post_pairs,
+        history_fields, history_generation, history_series, latest_eval, history_upsert, history_merge_files, marginal_history, marginal_cases, interim_records, latest_interim, pre_post_pairs,
         chart_points, refine_overlay, headline_fallback, reuse_check, checkpoint_roles, checkpoint_index_dedup, events_tail, status_last_value,
         eval_progress_by_tag, event_counts, baseline_view, list_runs,
     )
@@ -279,6 +286,8 @@ coalesce(json_type(record, '$.ci_refine_pending') = 'BOOLEAN' and record->>'$.ci
  or coalesce(coalesce(record->>'$.heldout.post.role', case when record->>'$.heldout.post' is null then coalesce(record->>'$.post_heldout.role', record->>'$.post.role') end) in {R.INTERIM_ROLES}, false)
  or (contains(lower(coalesce(record->>'$.note', '')), 'interim') and contains(lower(coalesce(record->>'$.note', '')), 'ci refine')) as interim
 from history where {_OK}""",
+    "latest_interim": """with i as (select run_id, history_id, row_number() over (partition by run_id order by file_seq desc, line_no desc, history_id desc) as rn
+from history join (__interim__) using (history_id) where interim) select run_id, history_id from i where rn = 1""",
     "pre_post_pairs": f"""with {_H} select history_id, heldout_pre, lag(heldout_post) over (partition by run_id order by ord, history_id) as previous_post from h where run_id is not null""",
     "chart_points": f"""with {_H}, p as (select generation, round(avg(heldout_post), 6) as accuracy, count(*) as n from h where generation is not null group by 1),
 l as (select generation + 1 as generation, 0 as n from h where generation is not null and heldout_post is null group by 1)
@@ -302,3 +311,4 @@ arg_max(value, (ts, event_id)) filter (where value is not null) as value, arg_ma
 from (select * from history where {_OK}) where run_id is not null) select run_id, baseline from x where rn = 1""",
     "list_runs": "select run_id, count(*) as n_lines, count(distinct file_seq) as n_files, strftime(max(written_at) at time zone 'UTC', '%Y-%m-%d %H:%M:%S') as last_written from history group by 1",
 }
+SQL["latest_interim"] = SQL["latest_interim"].replace("__interim__", SQL["interim_records"])

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import evaluator
 from quillstone.functions import text as T
+from quillstone.session import scratch
+from quillstone.sources import readers, writers
 
 # --- golden cases ---------------------------------------------------------------------------------------------------
 
@@ -140,6 +143,44 @@ def prompts(spark: SparkSession, sf: str) -> DataFrame:
     return h.select("row_id", T.operation_prompt(F.col("operation")).alias("prompt"), T.judge_prompt(F.col("operation"), F.lit("7")).alias("judged"))
 
 
+def age_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of the training data by their age at the time of the latest one."""
+    t = spark.read.parquet(f"{sf}/train_data.parquet").groupBy("added_at").agg(F.count("*").alias("n"))
+    at = t.crossJoin(F.broadcast(t.agg(F.max("added_at").alias("now"))))
+    return at.groupBy(T.age_label(F.col("added_at"), F.col("now")).alias("age")).agg(F.sum("n").alias("n"))
+
+
+def _examples(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf}/{table}.parquet")
+    return df.where(F.length(T.strip(F.col("operation"))) > 0).select("example_id", "operation", "solution")
+
+
+def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """The training data written as ordered CSV and read again: with optional solutions, with required ones, operations alone."""
+    rows = _examples(spark, sf, "train_data")
+    path = scratch(spark, "csv")
+    writers.write_csv(rows, f"{path}/all", "example_id")
+    writers.write_csv(rows.where(F.length(T.strip(F.col("solution"))) > 0), f"{path}/solved", "example_id")
+    sides = {
+        "all": readers.math_csv(spark, f"{path}/all"),
+        "solved": readers.training_csv(spark, f"{path}/solved"),
+        "operations": readers.operations_csv(spark, f"{path}/all").withColumn("solution", F.lit("-")),
+    }
+    counts = [df.groupBy(F.lit(n).alias("side"), "operation", "solution").agg(F.count("*").alias("n")) for n, df in sides.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def json_lines_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of history as text files: readable records and raw lines; a file that is missing has no count."""
+    h = spark.read.parquet(f"{sf}/history.parquet").where("record is not null")
+    path = scratch(spark, "lines")
+    h.select(F.regexp_replace("record", r"[\r\n]", " ").alias("value")).write.mode("overwrite").text(f"{path}/records")
+    ok = readers.json_lines(spark, f"{path}/records").agg(F.count("*").alias("readable"))
+    raw = readers.lines(spark, f"{path}/records").agg(F.count("*").alias("lines"))
+    none = readers.physical_rows(spark, f"{path}/missing").select(F.col("n").alias("missing"))
+    return ok.crossJoin(raw).crossJoin(none)
+
+
 def _strip(x: str) -> str:
     return rf"regexp_replace({x}, '^[\s\p{{Z}}\x1c-\x1f\x{{85}}]+|[\s\p{{Z}}\x1c-\x1f\x{{85}}]+$', '', 'g')"
 
@@ -157,10 +198,19 @@ QUERIES = {
     f.__name__: f
     for f in (
         parse_cases, verdict_cases, judge_score_cases, number_cases, evaluator_functions, programmatic_solutions, correct_cases, parse_answers,
-        number_answers, verdict_texts, judge_score_texts, prompts,
+        number_answers, verdict_texts, judge_score_texts, prompts, age_labels, csv_round_trip, json_lines_round_trip,
     )
 }
+_OK = f"{_strip('operation')} <> ''"
 SQL = {
+    "age_labels": """with m as (select max(added_at) as now from train_data), t as (select added_at, round_even(epoch_us(now) / 1e6 - epoch_us(added_at) / 1e6, 0) as s from train_data, m)
+select case when added_at is null then '' when s < 60 then concat(cast(floor(s) as bigint), 's ago') when s < 3600 then concat(cast(floor(s / 60) as bigint), 'm ago')
+when s < 86400 then concat(cast(floor(s / 3600) as bigint), 'h ago') else strftime(added_at at time zone 'UTC', '%Y-%m-%d %H:%M:%SZ') end as age, cast(count(*) as bigint) as n from t group by 1""",
+    "csv_round_trip": f"""with t as (select {_strip('operation')} as operation, coalesce({_strip('solution')}, '') as solution from train_data where {_OK})
+select 'all' as side, operation, solution, count(*) as n from t group by all union all select 'solved', operation, solution, count(*) from t where solution <> '' group by all
+union all select 'operations', operation, '-', count(*) from t group by all""",
+    "json_lines_round_trip": """select count(*) filter (where json_valid(record) and json_type(record) = 'OBJECT') as readable, count(*) as lines, cast(null as bigint) as missing
+from history where record is not null""",
     "parse_cases": _values([(i, k, o, s) for i, (_, ps) in enumerate(PARSED) for k, (o, s) in enumerate(ps)], ["id", "place", "operation", "solution"]),
     "verdict_cases": _values([(i, *r[2:]) for i, r in enumerate(VERDICTS)], ["id", "keep", "confidence", "solution", "high"]),
     "judge_score_cases": _values([(i, s) for i, (_, s) in enumerate(SCORES)], ["id", "score"]),

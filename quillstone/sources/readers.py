@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from quillstone.functions.text import strip
+from quillstone.session import file_system
+
 _CSV = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"', "encoding": "UTF-8", "enforceSchema": "false"}
 
 
@@ -16,8 +19,8 @@ def _csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _required(c: Column, message: str) -> Column:
-    ok = F.length(F.trim(F.coalesce(c, F.lit("")))) > 0
-    return F.when(ok, F.trim(c)).otherwise(F.raise_error(F.lit(message)).cast("string"))
+    ok = F.length(strip(F.coalesce(c, F.lit("")))) > 0
+    return F.when(ok, strip(c)).otherwise(F.raise_error(F.lit(message)).cast("string"))
 
 
 def _columns(df: DataFrame, *names: str) -> None:
@@ -30,7 +33,7 @@ def math_csv(spark: SparkSession, path: str) -> DataFrame:
     """(operation, solution): solution may be missing, an empty operation is an error."""
     df = _csv(spark, path)
     _columns(df, "operation")
-    sol = F.trim(F.coalesce("solution", F.lit(""))) if "solution" in df.columns else F.lit("")
+    sol = strip(F.coalesce(F.col("solution"), F.lit(""))) if "solution" in df.columns else F.lit("")
     return df.select(_required(F.col("operation"), "empty operation").alias("operation"), sol.alias("solution"))
 
 
@@ -104,7 +107,10 @@ def strict_json(spark: SparkSession, path: str, schema: StructType | str) -> Dat
 
 
 def physical_rows(spark: SparkSession, path: str) -> DataFrame:
-    """One row ``n``: text lines but the header, at least 0; quoted line breaks count as lines."""
+    """One row ``n``: text lines but the header, at least 0; quoted line breaks count as lines. Null for a missing file."""
+    fs, p = file_system(spark, path)
+    if not fs.exists(p):
+        return spark.createDataFrame([(None,)], "n long")
     return spark.read.text(path).agg(F.greatest(F.count("*") - 1, F.lit(0)).alias("n"))
 
 

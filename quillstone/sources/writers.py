@@ -68,7 +68,8 @@ def finite(df: DataFrame) -> DataFrame:
 def write_csv(df: DataFrame, path: str, *order: str, columns: Iterable[str] = ("operation", "solution")) -> None:
     """An ordered CSV with header; the order is global over the part files."""
     ordered = df.orderBy(*order) if order else df
-    ordered.select(*columns).write.mode("overwrite").option("header", True).option("escape", '"').option("lineSep", "\n").option("emptyValue", "").csv(path)
+    asis = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    ordered.select(*columns).write.mode("overwrite").options(**asis).option("header", True).option("escape", '"').option("lineSep", "\n").option("emptyValue", "").csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
