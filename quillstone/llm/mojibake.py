@@ -6,12 +6,12 @@ suffers from is unknown, so for every word with non-ASCII characters the swap is
 * Language model: character bigrams of the corpus. At the start only words count that no reading as UTF-8 explains.
 * E-step: the posterior of every swap of a word, from the swap's weight in the word's source and the bigram probability of
   the word it would restore.
-* M-step: new weights per source, and bigram counts in which words count as what they were restored to. The expected
-  counts of (swap, garbled character, letter) are the learned byte-to-letter mapping.
+* M-step: new weights per source, and bigram counts in which words count as what they were restored to. The mapping of a
+  swap is that of its code pages and not learned; only the weights and the bigrams are, in a fixed number of rounds.
 
-After convergence every word is decided by its odds against 'no swap'; a document is found if one word is decided well
+After the last round every word is decided by its odds against 'no swap'; a document is found if one word is decided well
 enough, or several together, or it holds replacement characters of a lossy decoding inside its text. Restoring applies
-the swap's byte-to-letter mapping to the words decided for it.
+the swap's code pages to the words decided for it.
 
 The model is a table of bigrams over a folded alphabet (all large scripts count by blocks of 256 characters), whose size
 does not grow with the corpus and is checked; the weights have a row per source and swap. All words of all documents are
