@@ -132,7 +132,7 @@ class AcceptedRuns:
             touched = [int(r.removeprefix("r=")) for r in list_names(self.spark, batch) if r.startswith("r=")]
             block = F.substring("key", 1, BLOCK).alias("block")
             blocks = new.select(block).distinct()
-            if seen.get["keys"] <= BROADCAST_KEYS:
+            if seen.get.get("keys", 0) <= BROADCAST_KEYS:
                 blocks = F.broadcast(blocks)
             old = self.read(list(self.runs), touched).where("fresh").withColumns({"block": block, "n": F.lit(0).cast("long"), "mine": F.lit(False)})
             near = old.join(blocks, "block", "left_semi")

@@ -7,9 +7,9 @@ is either cut off or a refusal, and that is read from the templates of all respo
 * A response whose words begin a template that goes on to a value in other pairs was cut off.
 * Openings (the first 12 words; for short responses the whole) are clustered by MinHash over five-word shingles; candidates
   of one band are verified at a similarity of 0.8, and verified links are followed to connected components. A template
-  recurs if it shares a shingle of ended templates that come with at least two different computations (counted
-  exactly), which are no two of a kind: templates that recur over unrelated questions decline or evade, and so do the
-  ended ones in the cluster of such a one.
+  recurs if it has a shingle of ended templates that comes with at least two different computations (counted
+  exactly). Templates that recur over different questions decline or evade, and so do the ended ones in the cluster of
+  such a one.
 * All others break off without giving a value, also such as were said once only, and are cut off.
 
 Defined cases: null outputs, and such as hold no letter or digit, are empty. A null question matches nothing. A bare

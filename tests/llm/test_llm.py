@@ -190,6 +190,15 @@ def test_store_is_continued_by_a_later_session(spark, tmp_path):
     assert len(incremental.AcceptedRuns(spark, path).runs) <= 4
 
 
+def test_store_takes_an_empty_batch(spark):
+    df = spark.createDataFrame([(1, "1+1"), (2, "1 + 1")], "id long, t string")
+    store = incremental.AcceptedRuns(spark)
+    store.merge(incremental.keyed_rows(df.where("id = 1"), "id", "t"))
+    none = spark.createDataFrame([], "id long, t string")
+    assert store.check(incremental.keyed_rows(none, "id", "t")).count() == 0
+    assert [tuple(r) for r in store.check(incremental.keyed_rows(df.where("id = 2"), "id", "t")).collect()] == [(2, 1)]
+
+
 def test_only_touched_ranges_and_blocks_are_read(spark):
     old = spark.createDataFrame([(i, f"{i}+1") for i in range(1000, 3000)], "id long, t string")
     store = incremental.AcceptedRuns(spark, range_rows=100)
