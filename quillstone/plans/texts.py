@@ -209,7 +209,7 @@ when s < 86400 then concat(cast(floor(s / 3600) as bigint), 'h ago') else strfti
     "csv_round_trip": f"""with t as (select {_strip('operation')} as operation, coalesce({_strip('solution')}, '') as solution from train_data where {_OK})
 select 'all' as side, operation, solution, count(*) as n from t group by all union all select 'solved', operation, solution, count(*) from t where solution <> '' group by all
 union all select 'operations', operation, '-', count(*) from t group by all""",
-    "json_lines_round_trip": """select count(*) filter (where json_valid(record) and json_type(record) = 'OBJECT') as readable, count(*) as lines, cast(null as bigint) as missing
+    "json_lines_round_trip": """select count(*) filter (where case when json_valid(record) then json_type(record) = 'OBJECT' else false end) as readable, count(*) as lines, cast(null as bigint) as missing
 from history where record is not null""",
     "parse_cases": _values([(i, k, o, s) for i, (_, ps) in enumerate(PARSED) for k, (o, s) in enumerate(ps)], ["id", "place", "operation", "solution"]),
     "verdict_cases": _values([(i, *r[2:]) for i, r in enumerate(VERDICTS)], ["id", "keep", "confidence", "solution", "high"]),
