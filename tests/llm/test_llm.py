@@ -326,6 +326,27 @@ def test_pairs_by_recurrence(spark):
     assert got == want
 
 
+def test_pairs_plans_stay_small(spark, monkeypatch):
+    plans, cut = [], pairs.cut
+
+    def recorded(df, name, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, name, *args)
+
+    monkeypatch.setattr(pairs, "cut", recorded)
+    rows = [
+        (0, "1+1", "I think 2 and no more"),
+        # one template; where others have a value a bare number is one, an operation is none
+        (1, "7", "I think 7 and no more"), (2, "3+4", "I think 3+4 and no more"),
+        (3, "5*8", "I must decline to answer this."), (4, "6*8", "I must decline to answer this."),
+    ]
+    out = pairs.defects(spark.createDataFrame(rows, "answer_id long, operation string, output string"), "answer_id", "operation", "output")
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert {r["answer_id"]: r["defect"] for r in out.collect()} == {2: "truncated", 3: "refusal", 4: "refusal"}
+    # one join to groups is five joins; the driver keeps every plan and each of its broadcasts
+    assert max(len(re.findall(r"\w+Join\b", p)) for p in plans) <= 6
+
+
 # --- 7: tokens -------------------------------------------------------------------------------------------------------
 
 
