@@ -20,6 +20,7 @@ give empty results; other columns are never read.
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -73,9 +74,7 @@ QUESTION, NUMBER, OTHER = SIGNS = ("\u0002", "\u0003", "\u0004")
 
 def mask(question: str, text: str) -> tuple[str, bool]:
     """``text`` with the question, numbers and other operations replaced by signs; whether the question is a bare number."""
-    tree, flat = operation_keys(question)
-    asked = tokens(question)
-    bare = sum(t[0].isdigit() or t[0] == "." for t in asked) == 1 and all(t in "+-()" or t[0] in "0123456789." for t in asked)
+    tree, flat, bare = _operation(question)
     ended = bool(_END.search(text))
     out, at = [], 0
     for chunk in _CHUNK.finditer(text):
@@ -83,11 +82,7 @@ def mask(question: str, text: str) -> tuple[str, bool]:
         if not m:
             continue
         start, stop = chunk.start() + m.start(), chunk.start() + m.end()
-        body, toks = m.group(), tokens(m.group())
-        number = sum(t[0].isdigit() or t[0] == "." for t in toks) == 1 and all(
-            t in "+-()" or t[0] in "0123456789." for t in toks
-        )
-        t2, f2 = operation_keys(body)
+        t2, f2, number = _operation(m.group())
         same = bool((t2 and t2 == tree) or (f2 and f2 == flat))
         cut_off = re.match(r"\s*[+\-*/^%×÷⋅∗−(]", text[stop:]) and not re.match(r"\s*[*(]*\s*(?:[^\W\d]|$)", text[stop:])
         if same or (not number and flat and f2 and _same_bag(flat, f2)):
@@ -104,6 +99,21 @@ def mask(question: str, text: str) -> tuple[str, bool]:
     return "".join(out), bare
 
 
+def _parsed(text: str) -> tuple[str | None, str | None, bool]:
+    """Tree key and text key of an operation, and whether it is a bare number."""
+    toks = tokens(text)
+    number = sum(t[0].isdigit() or t[0] == "." for t in toks) == 1 and all(t in "+-()" or t[0] in "0123456789." for t in toks)
+    return *operation_keys(text), number
+
+
+_parsed_before = lru_cache(1 << 16)(_parsed)
+
+
+def _operation(text: str) -> tuple[str | None, str | None, bool]:
+    """``_parsed``; questions and values come again and again, so short ones are parsed once while they are remembered."""
+    return _parsed_before(text) if len(text) <= 200 else _parsed(text)
+
+
 def _same_bag(a: str, b: str) -> bool:
     parts = lambda s: sorted(re.findall(r"[0-9]+(?:\.[0-9]+)?|[a-z_]+", s[1:]))
     return parts(a) == parts(b)
@@ -113,7 +123,7 @@ def foreign(words: list[str]) -> bool:
     """Whether the words are a sentence in another language than English: at most half of them look English."""
     if not words:
         return False
-    if sum(ord(c) > 0x24F and c.isalpha() for w in words for c in w) > 1:
+    if sum(ord(c) > 0x24F and c.isalpha() for w in words if not w.isascii() for c in w) > 1:
         return True
     known = sum(w in ENGLISH or (len(w) > 2 and w.isascii() and bool(_ENDING.search(w))) for w in words)
     return 2 * known <= len(words)
@@ -244,7 +254,7 @@ def defects(df: DataFrame, id_col: str, question_col: str, output_col: str) -> D
             for i, q, o in zip(batch["id"], batch["q"], batch["o"], strict=True):
                 q = q if isinstance(q, str) else None
                 kind, words, ended = read_pair(q, o if isinstance(o, str) else None)
-                asked = (operation_keys(q or "")[0] or q) if kind in ("open", "bare") else q
+                asked = (_operation(q or "")[0] or q) if kind in ("open", "bare") else q
                 out.append((i, kind, *hash_of(asked), " ".join(words), ended))
             yield pd.DataFrame(out, columns=["id", "kind", "q1", "q2", "words", "ended"])
 
